@@ -11,7 +11,8 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,21 +95,30 @@ def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(make, schema)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The table with its lineage cut, in the shared folder that the session names.
 
     Where spark.checkpoint.dir is unset, as in tests, a folder beside the session's warehouse is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share; set where it is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def connected_groups(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node that an undirected edge list connects with the node.
 
@@ -116,7 +126,6 @@ def connected_groups(edges: DataFrame, a: str, b: str, most_rounds: int = 60) ->
     rounds grows with the logarithm of the longest chain. Null and looping edges are dropped. Raises when
     most_rounds aren't enough, rather than returning a partial result.
     """
-    e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     e = checkpointed(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct())
     mark = _edge_mark(e)
     for _ in range(most_rounds):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["secret_scan", "pieces", "quality"]
+_MODULES = ["token_counts", "jaccard_join", "decontaminate", "license_scan", "substring_dedup", "secret_scan", "pieces", "suffix_dedup", "quality", "fingerprints"]
 
 
 def _collect(what: str) -> dict:

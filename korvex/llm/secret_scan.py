@@ -127,7 +127,7 @@ def scan(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: MarkovPair | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """All rows and columns, with each secret in text replaced by mark; a null text stays null."""
+    """All rows and columns, with each secret in text replaced by mark and n_chars, if there is one, put right; a null text stays null."""
     model = model or default_model()
 
     @F.pandas_udf("string")
@@ -139,7 +139,10 @@ def redact(docs: DataFrame, model: MarkovPair | None = None, mark: str = "[SECRE
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return docs.select(*[clean(F.col("`text`").cast("string")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    name = C.free_name(docs, "clean")
+    new = docs.withColumn(name, clean(F.col("text").cast("string")))
+    put = {"text": F.col(name), "n_chars": F.when(F.col("text").isNull() | (F.col("text") == F.col(name)), F.col("n_chars")).otherwise(F.length(name)) if "n_chars" in docs.columns else None}
+    return new.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_secret_scans(spark, sf_dir: str) -> DataFrame:
