@@ -200,14 +200,14 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     return j.select(*[F.when(F.col(name).isNull(), docs[c]).otherwise(without(docs[c].cast("string"), F.col(name))).alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
-#: The spans in SQL; {source} keeps the two operators' statements apart.
+#: The spans in SQL.
 SPANS_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) AS at, ws FROM w WHERE len(ws) >= 50),
-h AS (SELECT doc_id, at, md5(array_to_string(ws[at + 1:at + 50], ' ')) AS h FROM s),
+s AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) AS pos, ws FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1:pos + 50], ' ')) AS h FROM s),
 m AS (SELECT h, min(doc_id) AS first_doc FROM h GROUP BY h),
-d AS (SELECT doc_id, at, first_doc FROM h JOIN m USING (h) WHERE first_doc < doc_id),
-e AS (SELECT *, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 50 THEN 0 ELSE 1 END AS fresh FROM d),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM e)
-SELECT doc_id, min(at) AS start_word, max(at) + 50 AS end_word, arg_min(first_doc, at) AS first_doc FROM i GROUP BY doc_id, island
+d AS (SELECT doc_id, pos, first_doc FROM h JOIN m USING (h) WHERE first_doc < doc_id),
+e AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM d),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM e)
+SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, arg_min(first_doc, pos) AS first_doc FROM i GROUP BY doc_id, island
 """

@@ -3,7 +3,7 @@
 One model is trained on random strings, one on ordinary identifiers; both from labelled samples (string, label).
 A candidate is a run of at least MIN_LEN characters of the alphabets that keys are written in. It is reported
 when the mean log-likelihood ratio a character, random against ordinary, is above the cut, which is set on
-held-out labelled samples.
+held-out labelled samples, and the ratio of the whole run outweighs PRIOR, the odds against a run being random.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_LEN = 20
+MIN_LEN = 16
+PRIOR = 6.9  # log of 1000 to 1
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9+/_\-]{%d,})={0,2}" % (MIN_LEN - 1))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _CODE = np.full(256, len(ALPHABET), np.int64)
@@ -54,7 +55,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     for _ in range(n):
         abc = r.choice(kinds)
-        out.append(("".join(r.choice(abc) for _ in range(r.choice([20, 24, 32, 36, 40, 40, 48, 64, 88]))), 1))
+        out.append(("".join(r.choice(abc) for _ in range(r.choice([16, 18, 20, 24, 32, 36, 40, 40, 48, 64, 88]))), 1))
         how, text = r.randrange(7), ""
         while len(text) < MIN_LEN:
             w = r.choice(_WORDS)
@@ -64,7 +65,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
             text += r.choice(["", "_", "-"]) + str(r.randrange(r.choice([10, 100, 3000])))
         out.append((text, 0))
         if r.random() < 0.1:
-            out.append(("".join(r.choice("0123456789") for _ in range(r.randrange(20, 30))), 0))
+            out.append(("".join(r.choice("0123456789") for _ in range(r.randrange(MIN_LEN, 30))), 0))
     return out
 
 
@@ -108,7 +109,7 @@ def spans(text: str | None, model: MarkovPair) -> list[tuple[int, int, float]]:
     out = []
     for m in CANDIDATE.finditer(text or ""):
         s = model.score(m.group())
-        if s > model.cut:
+        if s > model.cut and s * (m.end() - m.start() - 1) > PRIOR:
             out.append((m.start(), m.end(), s))
     return out
 
