@@ -107,9 +107,8 @@ def _count(toks: Column, words: tuple[str, ...]) -> Column:
     """How often a word or a phrase stands in the tokens."""
     if len(words) == 1:
         return F.size(F.filter(toks, lambda x: x == words[0]))
-    starts = F.size(toks) - (len(words) - 1)
-    whole = F.array(*[F.lit(w) for w in words])
-    return F.when(starts > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))), lambda i: F.slice(toks, i, len(words)) == whole))).otherwise(0)
+    spaced = F.concat(F.lit(" "), F.array_join(toks, "  "), F.lit(" "))  # every token with spaces of its own
+    return F.regexp_count(spaced, F.lit(f"(?= {'  '.join(words)} )"))
 
 
 def index(docs: DataFrame, fields: Sequence[str] = ("text",), id_col: str = "id") -> DataFrame:

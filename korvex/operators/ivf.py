@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvex.functions.vector import metric_name
 from korvex.operators.pq import _kmeans
-from korvex.operators.topk import scores, topk_batch
+from korvex.operators.topk import best, scores, topk_batch
 
 
 def train(df: DataFrame, lists: int, seed: int = 0, rounds: int = 20, vector_col: str = "vector", max_rows: int = 50_000) -> np.ndarray:
@@ -50,3 +50,43 @@ def search(spark: SparkSession, path: str, centres: np.ndarray, queries: Sequenc
         part = topk_batch(table.where(F.col("list").isin(*lists)), own, k, metric, id_col, vector_col)
         out = part if out is None else out.unionByName(part)
     return topk_batch(table, [], k, metric, id_col, vector_col) if out is None else out
+
+
+def knn_join(df: DataFrame, centres: np.ndarray, k: int, probes: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", block: int = 4096) -> DataFrame:
+    """(left_id, right_id, score, rank): the k best rows for every row, among those of its `probes` nearest lists.
+
+    A list's rows are dealt to blocks, so no task grows with a list. Null ids and vectors are left out; with all lists
+    probed the result is exact.
+    """
+    metric = metric_name(metric)
+    probes = min(probes, len(centres))
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        s = scores(np.stack(v.to_numpy()).astype(float), centres, "l2") if len(v) else np.zeros((0, len(centres)))
+        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)), dtype=object)
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("near", nearest("v"))
+    right = rows.select("id", "v", F.col("near")[0].alias("list"))
+    blocks = {r["list"]: -(-r["count"] // block) for r in right.groupBy("list").count().collect()}  # a row for each centre
+    many = F.array(*[F.lit(max(1, blocks.get(n, 1))) for n in range(len(centres))])
+    right = right.withColumn("part", F.pmod(F.xxhash64("id"), F.get(many, F.col("list"))).cast("int"))
+    right = right.select(F.col("id").alias("rid"), F.col("v").alias("rv"), "list", "part")
+    left = rows.select("id", "v", F.explode("near").alias("list")).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(many, F.col("list")) - 1)))
+
+    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b, c = [], [], []
+        if len(x) and len(y):
+            ids, own, r = y["rid"].to_numpy(), x["id"].to_numpy(), np.stack(y["rv"].to_numpy())
+            for s in range(0, len(x), 1024):
+                got = scores(np.stack(x["v"].to_numpy()[s : s + 1024]), r, metric)
+                for row, i in zip(got, own[s : s + 1024]):
+                    keep = best(row, ids, k)
+                    a.extend([i] * len(keep))
+                    b.extend(ids[keep].tolist())
+                    c.extend(row[keep].tolist())
+        return pd.DataFrame({"left_id": np.array(a, np.int64), "right_id": np.array(b, np.int64), "score": np.array(c, float)})
+
+    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(pair, "left_id long, right_id long, score double")
+    w = Window.partitionBy("left_id").orderBy(F.round("score", 12).desc(), "right_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

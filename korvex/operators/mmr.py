@@ -63,4 +63,4 @@ def mmr(candidates: DataFrame, query: Sequence[float], k: int, lam: float = 0.5,
         return out[[*names, "mmr_score", "mmr_rank"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
-    return candidates.groupBy(F.lit(1)).applyInPandas(run, f"{schema}, mmr_score double, mmr_rank int")
+    return candidates.groupBy().applyInPandas(run, f"{schema}, mmr_score double, mmr_rank int")

@@ -33,6 +33,14 @@ def to_json(value) -> str:
     return json.dumps(clean(value))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; one beside the warehouse is set where there is none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
