@@ -47,7 +47,7 @@ class Job:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(id, content, content_type) of all files under a path, of any number."""
+    """(id, content, content_type) of all files under a path, of any number; Spark leaves empty files out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return f.select(F.col("path").alias("id"), "content", content_type(F.col("path")).alias("content_type"))
 
