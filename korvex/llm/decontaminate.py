@@ -1,9 +1,13 @@
 """Operator 3, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
 
 A first pass counts, over all documents, in how many of them each n-gram of the benchmark stands. Of every item the
-rarer half of its n-grams (SEEDS at least) are its seeds. A second pass looks for seeds in whole texts; where one
-stands, the words around it are aligned with the item (match +1, mismatch and gap -1), and the best score divided
-by the item's length is the score. An edited copy keeps a high score: each changed word costs two of its n.
+rarest n-grams are its seeds, as many as it takes for any copy at the threshold to hold one (see shared). A second
+pass looks for seeds in whole texts; where one stands among as many n-grams of the item as such a copy has, the words
+around it are aligned with the item (match +1, mismatch and gap -1), and the best score divided by the item's length
+is the score. So the result is that of aligning every item with every whole text.
+
+The n-grams have at most NGRAM words, and fewer where copies at the threshold needn't share one of that length: at
+0.5 a word put in after every second leaves no trigram, but half of the pairs.
 
 The benchmark's grams are sent to every task as long as there are at most MOST_WORDS words of it; a larger
 benchmark is cut into parts of that size that are searched one after the other, so nothing that is sent grows.
@@ -11,6 +15,7 @@ benchmark is cut into parts of that size that are searched one after the other,
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -32,6 +37,26 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def least_score(size: int, threshold: float) -> int:
+    """The smallest alignment score that reaches the threshold for an item of `size` words."""
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def shared(size: int, threshold: float, n: int) -> int:
+    """How many of an item's n-grams every alignment at the threshold holds unchanged, at least.
+
+    m matches and e errors score m - e, and the errors part the matches into e + 1 runs at most, each with n - 1
+    n-grams fewer than matches: m - (n - 1)(e + 1) n-grams, where e is at most m - score and m at most size.
+    """
+    least = least_score(size, threshold)
+    return least if n == 1 else (2 - n) * size + (n - 1) * (least - 1)
+
+
+def gram_length(size: int, threshold: float, n: int) -> int:
+    """The longest n-grams, of n words at most, of which a copy at the threshold must hold one."""
+    return next(q for q in range(n, 0, -1) if shared(size, threshold, q) >= 1)
+
+
 @dataclass
 class Index:
     """Items as word numbers (0 is any other word), and where each n-gram code stands in them."""
@@ -88,17 +113,19 @@ def index_of(rows: list[tuple[int, str]], n: int = NGRAM) -> Index:
     return Index([i for i, _ in texts], vocab, items, n, codes, np.append(first, len(flat)), item[order], at[order])
 
 
-def rare_seeds(ix: Index, df: np.ndarray, least: int = SEEDS) -> np.ndarray:
-    """Mask of the index's places that are seeds: of each item the rarer half of its distinct n-grams by document count, ties by code."""
+def rare_seeds(ix: Index, df: np.ndarray, least: int = SEEDS, threshold: float = THRESHOLD) -> np.ndarray:
+    """Mask of the index's places that are seeds: of each item the rarest by document count, ties by code.
+
+    All places but one fewer than a copy at the threshold shares, so that it can't consist of the others only.
+    """
     keep = np.zeros(len(ix.place_item), bool)
     code = np.repeat(np.arange(len(ix.codes)), np.diff(ix.first))
     order = np.lexsort((code, df[code], ix.place_item))
     start = 0
-    for stop in np.append(np.flatnonzero(np.diff(ix.place_item[order])) + 1, len(order)):
+    for stop in np.append(np.flatnonzero(np.diff(ix.place_item[order])) + 1, len(order)) if len(order) else []:
         own = order[start:stop]
-        distinct = list(dict.fromkeys(code[own].tolist()))
-        chosen = distinct[: max(least, -(-len(distinct) // 2))]
-        keep[own[np.isin(code[own], chosen)]] = True
+        size = len(ix.items[ix.place_item[own[0]]])
+        keep[own[: max(least, len(own) - shared(size, threshold, ix.n) + 1)]] = True
         start = stop
     return keep
 
@@ -126,11 +153,15 @@ def _pad(rows: list[np.ndarray], fill: int) -> np.ndarray:
 
 
 class Finder:
-    def __init__(self, ix: Index, seeds: np.ndarray):
-        self.ix, self.seeds = ix, seeds
+    def __init__(self, ix: Index, seeds: np.ndarray, threshold: float = THRESHOLD):
+        self.ix, self.seeds, self.threshold = ix, seeds, threshold
+        self.held = np.unique(ix.place_item * len(ix.codes) + np.repeat(np.arange(len(ix.codes)), np.diff(ix.first)))
 
     def windows(self, w: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item number, first word, end) of the stretches of a text to align: seeds on about one diagonal share one."""
+        """(item number, first word, end) of the stretches of a text to align: seeds on about one diagonal share one.
+
+        An alignment at the threshold has at most size - least_score gaps, and lies within so many words of its seeds.
+        """
         ix = self.ix
         at, k = ix.hits(w)
         if not len(at):
@@ -146,16 +177,25 @@ class Finder:
         for x in np.lexsort((diagonal, item)).tolist():
             i, d = int(item[x]), int(diagonal[x])
             size = len(ix.items[i])
-            slack = size // 4 + 2
+            slack = size - least_score(size, self.threshold)
             if last and last[0] == i and d - last[2] <= slack and d - last[1] <= size:
                 last[2] = d
             else:
                 last = [i, d, d]
                 out.append(last)  # type: ignore[arg-type]
-        return [(i, max(0, lo - (s := len(ix.items[i])) // 4 - 2), min(len(w), hi + s + s // 4 + 2)) for i, lo, hi in out]
+        found = []
+        for i, lo, hi in out:
+            size = len(ix.items[i])
+            slack = size - least_score(size, self.threshold)
+            a, b = max(0, lo - slack), min(len(w), hi + size + slack)
+            inside = i * len(ix.codes) + k[np.searchsorted(at, a) : np.searchsorted(at, b - ix.n, side="right")]
+            own = self.held[np.minimum(np.searchsorted(self.held, inside), len(self.held) - 1)] == inside
+            if own.sum() >= shared(size, self.threshold, ix.n):
+                found.append((i, a, b))
+        return found
 
     def scores(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
-        """(text number, item number, score) of all pairs that share a seed."""
+        """(text number, item number, score) of all pairs that share a seed and may reach the threshold."""
         jobs = []
         for t, text in enumerate(texts):
             w = self.ix.numbers(tokens(text))
@@ -187,16 +227,21 @@ def document_counts(docs: DataFrame, ix: Index) -> np.ndarray:
     return out
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int = SEEDS, most_words: int = MOST_WORDS) -> list[Finder]:
-    """One Finder for each part of the benchmark."""
+def finders(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int = SEEDS, most_words: int = MOST_WORDS, threshold: float = THRESHOLD) -> list[Finder]:
+    """One Finder for each part of the benchmark and length of n-grams; items of fewer than n words are left out."""
     items = C.id_text(benchmark, "item_id").where("id is not null and length(text) > 0")
     total = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, -(-total // most_words))
     out = []
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).distinct().collect()
-        ix = index_of(sorted((r["id"], r["text"]) for r in own), n)
-        out.append(Finder(ix, rare_seeds(ix, document_counts(docs, ix), least)))
+        by_length: dict[int, list] = {}
+        for r in sorted((r["id"], r["text"]) for r in own):
+            if (size := len(tokens(r[1]))) >= n:
+                by_length.setdefault(gram_length(size, threshold, n), []).append(r)
+        for q, rows in sorted(by_length.items() or [(n, [])]):
+            ix = index_of(rows, q)
+            out.append(Finder(ix, rare_seeds(ix, document_counts(docs, ix), least, threshold), threshold))
     return out
 
 
@@ -216,12 +261,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         return C.id_text(docs).mapInArrow(run, "doc_id long, item_id long, score double")
 
-    return reduce(DataFrame.union, map(search, finders(docs, benchmark, n)))
+    return reduce(DataFrame.union, map(search, finders(docs, benchmark, n, threshold=threshold)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """The rows, with all their columns, that no benchmark item matches; null and empty texts stay."""
-    for f in finders(docs, benchmark, n):
+    for f in finders(docs, benchmark, n, threshold=threshold):
         name = C.free_name(docs, "contaminated")
         docs = docs.withColumn(name, _hit(f, threshold)(F.col("text").cast("string"))).where(~F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs

@@ -172,6 +172,21 @@ def test_contamination_against_full_alignment(spark):
     assert kept.columns == d.columns and {x["doc_id"] for x in kept.collect()} == set(range(60)) - {n for n, _ in want}
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.3, 0.9])
+def test_contamination_of_heavily_edited_copies(spark, threshold):
+    """Copies that leave few or no trigrams, each the only version of its item, one of them many times."""
+    items = {i: [f"i{i}w{k}" for k in range(size)] for i, size in enumerate([40, 40, 20, 38, 59, 40, 40, 3, 11, 40])}
+    x = lambda i, every: [f"x{i}{k}" if k % every == every - 1 else w for k, w in enumerate(items[i])]
+    put_in = lambda ws, every: [y for k, w in enumerate(ws) for y in ([w, f"y{k}"] if k % every == every - 1 else [w])]
+    edited = [x(0, 5), x(1, 4), x(2, 5), x(3, 5), x(4, 5), put_in(items[5], 2), items[6][:20], items[7][:2], put_in(items[8], 3), x(9, 40)]
+    docs = [["before"] * 40 + w + ["after"] * 40 for w in [*edited, *[edited[0]] * 30]]
+    score = lambda i, w: smith_waterman(items[i], w) / len(items[i])
+    want = {(n, i): s for n, w in enumerate(docs) for i in items if (s := score(i, w)) >= threshold}
+    d, b = make(spark, [" ".join(w) for w in docs]), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(d, b, threshold).collect()} == pytest.approx(want)
+    assert len(want) >= (39 if threshold < 0.9 else 1)
+
+
 # 4
 
 
