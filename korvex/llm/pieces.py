@@ -3,10 +3,10 @@
 Encoding follows the BPE rules of a SentencePiece model with byte fallback: the text, with spaces as U+2581 and one
 in front, is cut where a U+2581 follows something else (no piece of such a model crosses that point, which load()
 checks), and each word is merged from an agenda of neighbouring pieces, best score and then leftmost first. A
-candidate merge is skipped for good when a keyed hash of the word and the candidate's place in it falls under the
-dropout rate. The key is made of the seed and a variant, one of VARIANTS, which a hash of seed, document id and place
-in the text picks for each run of RUN words; so the result of a word under a key can be kept. The same seed always gives the same pieces; dropout 0 gives exactly
-the library's encoding. Whatever is skipped, the pieces decode to the text: a literal U+2581 is written as bytes.
+candidate merge is skipped for good when a keyed hash of its place in the word falls under the dropout rate. The key is
+a hash of the seed, the document id and the word's place in the text, so each occurrence of a word is merged on its own;
+only without dropout are results of words kept. The same seed always gives the same pieces; dropout 0 gives exactly the
+library's encoding. Whatever is skipped, the pieces decode to the text: a literal U+2581 is written as bytes.
 """
 
 from __future__ import annotations
@@ -28,19 +28,18 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-VARIANTS = 4
-RUN = 64
 MOST_KEPT = 800_000
 _CUT = re.compile(r" *[^ ]+| +")
 _NEVER = 1 << 62
 _CHARS = 1 << 17  # ids of characters without a piece begin here
 _PAD = (1 << 21) - 1
+_ALL = (1 << 64) - 1
 _WIDTHS = (8, 12, 16, 24, 48)
 
 
 @dataclass
 class Pieces:
-    """Scores and ids of a model, and the words encoded so far."""
+    """Scores and ids of a model, and the words encoded so far without dropout."""
 
     ids: dict[str, int]
     rank: dict[str, int]
@@ -99,18 +98,39 @@ def skip_table(seed: int, variant: int, dropout: float) -> bytes:
     return ((x >> np.uint64(32)) < np.uint64(dropout * 2**32)).astype(np.uint8).tobytes()
 
 
-def merge_word(word: str, p: Pieces, table: bytes) -> list[str]:
-    """Pieces of one word (spaces written U+2581) under a skip table."""
+@dataclass
+class Occurrence:
+    """Skips of one occurrence of a word: used where a skip table is."""
+
+    key: int
+    limit: int  # of 2 ** 32
+
+    def skips(self, i: int, j: int, k: int) -> bool:
+        x = (self.key + (i * 7919 + j * 104729 + k * 1299709) * int(C.M1)) & _ALL
+        x = (x ^ (x >> 31)) * int(C.M2) & _ALL
+        return ((x ^ (x >> 29)) >> 32) < self.limit
+
+
+def _skipper(word: str, table: bytes | Occurrence):
+    """Whether the candidate of (its place, the right piece's, its end) is skipped."""
+    if isinstance(table, Occurrence):
+        return table.skips
+    w = zlib.crc32(word.encode("utf-8", "replace"))
+    return lambda i, j, k: table[(w ^ (i * 7919 + j * 104729 + k * 1299709)) & 65535]
+
+
+def merge_word(word: str, p: Pieces, table: bytes | Occurrence) -> list[str]:
+    """Pieces of one word (spaces written U+2581) under a skip table or an occurrence's skips."""
     if len(word) > 48:
         return _merge_long(list(word), p, table)
     s = list(word)
     get = p.rank.get
-    w = zlib.crc32(word.encode("utf-8", "replace"))
+    skips = _skipper(word, table)
     at = list(range(len(s) + 1))
     c = []
     for i in range(len(s) - 1):
         r = get(word[i : i + 2])
-        c.append(_NEVER if r is None or table[(w ^ (i * 7919 + (i + 1) * 104729 + (i + 2) * 1299709)) & 65535] else r)
+        c.append(_NEVER if r is None or skips(i, i + 1, i + 2) else r)
     while c:
         best = min(c)
         if best == _NEVER:
@@ -120,25 +140,25 @@ def merge_word(word: str, p: Pieces, table: bytes) -> list[str]:
         del s[i + 1], at[i + 1], c[i]
         if i < len(c):
             r = get(s[i] + s[i + 1])
-            c[i] = _NEVER if r is None or table[(w ^ (at[i] * 7919 + at[i + 1] * 104729 + at[i + 2] * 1299709)) & 65535] else r
+            c[i] = _NEVER if r is None or skips(at[i], at[i + 1], at[i + 2]) else r
         if i:
             r = get(s[i - 1] + s[i])
-            c[i - 1] = _NEVER if r is None or table[(w ^ (at[i - 1] * 7919 + at[i] * 104729 + at[i + 1] * 1299709)) & 65535] else r
+            c[i - 1] = _NEVER if r is None or skips(at[i - 1], at[i], at[i + 1]) else r
     return s
 
 
-def _merge_long(s: list[str], p: Pieces, table: bytes) -> list[str]:
+def _merge_long(s: list[str], p: Pieces, table: bytes | Occurrence) -> list[str]:
     """The same by a heap and linked neighbours, for long words."""
     import heapq
 
     n = len(s)
-    w = zlib.crc32("".join(s).encode("utf-8", "replace"))
+    skips = _skipper("".join(s), table)
     nxt, prv, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     heap: list[tuple[int, int, int, int]] = []
 
     def push(i: int) -> None:
         j = nxt[i]
-        if j < n and (r := p.rank.get(s[i] + s[j])) is not None and not table[(w ^ (i * 7919 + j * 104729 + end[j] * 1299709)) & 65535]:
+        if j < n and (r := p.rank.get(s[i] + s[j])) is not None and not skips(i, j, end[j]):
             heapq.heappush(heap, (r, i, j, end[j]))
 
     for i in range(n - 1):
@@ -158,7 +178,7 @@ def _merge_long(s: list[str], p: Pieces, table: bytes) -> list[str]:
     return [x for x, ok in zip(s, alive) if ok]
 
 
-def word_ids(word: str, p: Pieces, table: bytes) -> list[int]:
+def word_ids(word: str, p: Pieces, table: bytes | Occurrence) -> list[int]:
     """Ids of one word as it stands in the text, its leading spaces included. A literal U+2581 takes part in no merge."""
     out: list[int] = []
     for k, part in enumerate(word.split(SPACE)):
@@ -174,37 +194,47 @@ def word_ids(word: str, p: Pieces, table: bytes) -> list[int]:
     return out
 
 
-def merge_batch(words: list[str], p: Pieces, table: bytes) -> list[bytes]:
+def merge_batch(words: list[str], p: Pieces, table: bytes, of: np.ndarray | None = None, keys: np.ndarray | None = None, limit: int = 0) -> list[bytes]:
     """Packed ids of many words at once; the same as word_ids one by one.
 
+    With keys, those of occurrences: occurrence x is of word of[x] and skips by keys[x] and limit, in place of the table.
     A round takes the best candidate of every word that has any; neighbours are linked by position.
     """
-    out: list[bytes] = [b""] * len(words)
-    sizes = np.array([len(w) if SPACE not in w else 1 << 30 for w in words])
+    of = np.arange(len(words)) if of is None else of
+    out: list[bytes] = [b""] * len(of)
+    sizes = np.array([len(w) if SPACE not in w else 1 << 30 for w in words], np.int64)
     skip, low = np.frombuffer(table, np.uint8), 0
 
-    def rank(a, b, w, i, j, k):
+    def rank(a, b):
         key = a << 21 | b
         at = np.minimum(np.searchsorted(p.pair_key, key), len(p.pair_key) - 1)
-        r = np.where(p.pair_key[at] == key, p.pair_rank[at], _NEVER)
-        return np.where(skip[(w ^ (i * 7919 + j * 104729 + k * 1299709)) & 65535] == 1, _NEVER, r)
+        return np.where(p.pair_key[at] == key, p.pair_rank[at], _NEVER)
+
+    def thinned(r, w, i, j, k):
+        place = i * 7919 + j * 104729 + k * 1299709
+        if keys is None:
+            return np.where(skip[(w ^ place) & 65535] == 1, _NEVER, r)
+        return np.where((C.mix(w + place.astype(np.uint64) * C.M1) >> np.uint64(32)) < np.uint64(limit), _NEVER, r)
 
     for width in _WIDTHS:
-        which = np.flatnonzero((sizes > low) & (sizes <= width))
+        fits = (sizes > low) & (sizes <= width)
+        distinct, which = np.flatnonzero(fits), np.flatnonzero(fits[of])
         low = width
         if not len(which):
             continue
-        own = [words[i] for i in which]
-        n, size, row = len(own), sizes[which], width + 1
-        crc = np.fromiter((zlib.crc32(w.replace(" ", SPACE).encode("utf-8", "replace")) for w in own), np.int64, n)
+        own = [words[i] for i in distinct]
+        text = np.full((len(own), row := width + 1), _PAD, np.int64)
+        text[np.arange(row) < sizes[distinct][:, None]] = p.char_id[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        pairs = rank(text[:, :-2], text[:, 1:-1])
+        at = (np.cumsum(fits) - 1)[of[which]]  # of each occurrence, its row of text
+        crc = keys[which] if keys is not None else np.fromiter((zlib.crc32(w.replace(" ", SPACE).encode("utf-8", "replace")) for w in own), np.int64, len(own))[at]
+        n, size, sym = len(which), sizes[of[which]], text[at]
         alive = np.arange(row) < size[:, None]
-        sym = np.full((n, row), _PAD, np.int64)
-        sym[alive] = p.char_id[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)]
         nxt = np.minimum(np.arange(1, row + 1), size[:, None])
         prv = np.tile(np.arange(-1, row - 1), (n, 1))
         best = np.full((n, width), _NEVER, np.int64)
         i = np.arange(width - 1)
-        best[:, :-1] = rank(sym[:, :-2], sym[:, 1:-1], crc[:, None], i, i + 1, i + 2)
+        best[:, :-1] = thinned(pairs[at], crc[:, None], i, i + 1, i + 2)
         sym, nxt, prv, best = sym.ravel(), nxt.ravel(), prv.ravel(), best.reshape(-1)
         rows, live = np.arange(n), alive.reshape(-1)
         while len(rows):
@@ -222,51 +252,58 @@ def merge_batch(words: list[str], p: Pieces, table: bytes) -> list[bytes]:
             prv[base + k] = i
             live[base + j] = False
             best[(flat + j)[j < width]] = _NEVER
-            best[flat + i] = rank(m, sym[base + k], w, i, k, nxt[base + k])
+            best[flat + i] = thinned(rank(m, sym[base + k]), w, i, k, nxt[base + k])
             h = prv[base + i]
             left = h >= 0
             h, base, flat = h[left], base[left], flat[left]
-            best[flat + h] = rank(sym[base + h], m[left], w[left], h, i[left], k[left])
+            best[flat + h] = thinned(rank(sym[base + h], m[left]), w[left], h, i[left], k[left])
         live = live.reshape(n, row)
         ids, count = sym.reshape(n, row)[live], live.sum(1)
         end = np.cumsum(count)
         odd = np.zeros(n, bool)
         odd[np.searchsorted(end, np.flatnonzero(ids >= _CHARS), side="right")] = True
         raw, item = ids.astype(p.code).tobytes(), np.dtype(p.code).itemsize
-        for q, e, c, bad, x in zip(which.tolist(), end.tolist(), count.tolist(), odd.tolist(), own):
-            out[q] = array(p.code, word_ids(x, p, table)).tobytes() if bad else raw[(e - c) * item : e * item]
-    for q in np.flatnonzero(sizes > _WIDTHS[-1]).tolist():
-        out[q] = array(p.code, word_ids(words[q], p, table)).tobytes()
+        for q, e, c, bad in zip(which.tolist(), end.tolist(), count.tolist(), odd.tolist()):
+            out[q] = _with_bytes(ids[e - c : e].tolist(), p) if bad else raw[(e - c) * item : e * item]
+    for q in np.flatnonzero(sizes[of] > _WIDTHS[-1]).tolist():
+        out[q] = array(p.code, word_ids(words[of[q]], p, table if keys is None else Occurrence(int(keys[q]), limit))).tobytes()
     return out
 
 
-def _variants(doc_id: int | None, n: int, seed: int) -> list[int]:
-    """Variant of each run of RUN words."""
-    base = np.uint64(((seed * 0x9E3779B97F4A7C15) ^ ((doc_id or 0) * 0xD6E8FEB86659FD93)) & 0xFFFFFFFFFFFFFFFF)
-    return (C.mix(C.mix(np.arange(-(-n // RUN), dtype=np.uint64) * C.M1 + base)) % np.uint64(VARIANTS)).tolist()
+def _with_bytes(ids: list[int], p: Pieces) -> bytes:
+    """Packed ids, with the bytes of characters that have no piece."""
+    out = array(p.code)
+    for i in ids:
+        if i < _CHARS:
+            out.append(i)
+        else:
+            out.extend(p.byte_ids[b] for b in chr(i - _CHARS).replace(" ", SPACE).encode("utf-8", "replace"))
+    return out.tobytes()
+
+
+def occurrence_keys(doc_id: int | None, n: int, seed: int) -> np.ndarray:
+    """Key of each of a document's n words."""
+    base = np.uint64(((seed * 0x9E3779B97F4A7C15) ^ ((doc_id or 0) * 0xD6E8FEB86659FD93)) & _ALL)
+    return C.mix(C.mix(np.arange(n, dtype=np.uint64) * C.M1 + base))
 
 
 def encode_batch(texts: list[str | None], p: Pieces, doc_ids: list[int | None], seed: int = 0, dropout: float = 0.1) -> list[np.ndarray]:
     """Id arrays of texts; an empty one for a null or an empty text."""
-    runs: list[tuple[list[str], dict, int, int]] = []
-    for d, (t, i) in enumerate(zip(texts, doc_ids)):
-        ws = _CUT.findall(" " + t) if t else []
-        for r, v in enumerate(_variants(i, len(ws), seed) if dropout else [0] * -(-len(ws) // RUN)):
-            runs.append((ws[r * RUN : r * RUN + RUN], p.kept.setdefault((seed, v, dropout), {}), v, d))
-    for v in {r[2] for r in runs}:
-        kept = p.kept[seed, v, dropout]
-        if len(kept) > MOST_KEPT // VARIANTS:
-            kept.clear()
-        flat: list[str] = []
-        for ws, _, x, _ in runs:
-            if x == v:
-                flat += ws
-        new = list(set(flat).difference(kept))
-        kept.update(zip(new, merge_batch(new, p, skip_table(seed, v, dropout))))
-    packed: list[list[bytes]] = [[] for _ in texts]
-    for ws, kept, _, d in runs:
-        packed[d] += map(kept.__getitem__, ws)
-    return [np.frombuffer(b"".join(x), p.code) for x in packed]
+    cut = [_CUT.findall(" " + t) if t else [] for t in texts]
+    flat = [w for ws in cut for w in ws]
+    if dropout:
+        number: dict[str, int] = {}
+        of = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+        keys = np.concatenate([occurrence_keys(i, len(ws), seed) for i, ws in zip(doc_ids, cut)]) if cut else np.zeros(0, np.uint64)
+        packed = merge_batch(list(number), p, b"", of, keys, int(dropout * 2**32))
+    else:
+        if len(p.kept) > MOST_KEPT:
+            p.kept.clear()
+        new = list(set(flat).difference(p.kept))
+        p.kept.update(zip(new, merge_batch(new, p, skip_table(0, 0, 0.0))))
+        packed = list(map(p.kept.__getitem__, flat))
+    end = np.cumsum([len(ws) for ws in cut]).tolist()
+    return [np.frombuffer(b"".join(packed[e - len(ws) : e]), p.code) for e, ws in zip(end, cut)]
 
 
 def encode_ids(text: str | None, p: Pieces, doc_id: int | None = 0, seed: int = 0, dropout: float = 0.1) -> np.ndarray:

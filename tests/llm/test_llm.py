@@ -298,6 +298,28 @@ def test_batched_merges_are_those_of_single_words():
     assert pieces.merge_batch(words, p, t) == [np.array(pieces.word_ids(w, p, t), p.code).tobytes() for w in words]
 
 
+def test_dropout_of_each_occurrence():
+    p = pieces.load()
+    text = " ".join(["internationalisation"] * 3000)
+    got = pieces.encode_ids(text, p, 7, 1, 0.2)
+    assert (got == pieces.encode_ids(text, p, 7, 1, 0.2)).all() and len(got) != len(pieces.encode_ids(text, p, 8, 1, 0.2))
+    words = pieces._CUT.findall(" " + text)
+    keys = pieces.occurrence_keys(7, len(words), 1)
+    one = pieces.merge_batch(words[:1], p, b"", np.zeros(len(words), np.int64), keys, int(0.2 * 2**32))
+    assert b"".join(one) == got.tobytes() and len(set(one)) > 100 and len(set(one[:64])) > 10
+    skips = [pieces.Occurrence(int(k), int(0.2 * 2**32)).skips(i, i + 1, i + 2) for k in keys for i in range(10)]
+    assert 0.19 < np.mean(skips) < 0.21
+
+
+def test_batched_merges_of_occurrences():
+    p, limit = pieces.load(), int(0.2 * 2**32)
+    words = sorted({w for x in [*list(sf_texts().values())[:20], *ODD] if x for w in pieces._CUT.findall(" " + x)})
+    of = np.tile(np.arange(len(words)), 2)
+    keys = pieces.occurrence_keys(None, len(of), 4)
+    want = [np.array(pieces.word_ids(words[x], p, pieces.Occurrence(int(k), limit)), p.code).tobytes() for x, k in zip(of, keys)]
+    assert pieces.merge_batch(words, p, b"", of, keys, limit) == want
+
+
 def test_pieces_of_tables(spark, odd):
     rows = pieces.op7_sentencepiece(spark, SF).collect()
     assert len(rows) == len(sf_texts()) and all(r["lossless"] for r in rows)
