@@ -10,17 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvex.functions.vector import metric_name
-from korvex.operators.pq import _kmeans
+from korvex.operators.pq import kmeans
 from korvex.operators.topk import best, scores, topk_batch
 
 
-def train(df: DataFrame, lists: int, seed: int = 0, rounds: int = 20, vector_col: str = "vector", max_rows: int = 50_000) -> np.ndarray:
-    """Centres, from at most max_rows rows (a sample by hash)."""
-    v = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max_rows)
-    x = np.array([r["v"] for r in v.collect()])
-    if not len(x):
-        raise ValueError("no vectors")
-    return _kmeans(x, lists, rounds, seed)
+def train(df: DataFrame, lists: int, seed: int = 0, rounds: int = 20, vector_col: str = "vector") -> np.ndarray:
+    """Centres, from all rows."""
+    return kmeans(df, 1, lists, rounds, seed, vector_col)[0]
 
 
 def assign(df: DataFrame, centres: np.ndarray, vector_col: str = "vector") -> DataFrame:

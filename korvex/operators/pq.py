@@ -40,48 +40,72 @@ class Codebook:
         return ((self.centres - q[:, None, :]) ** 2).sum(2)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    r = np.random.default_rng(seed)
-    centres = x[r.choice(len(x), min(k, len(x)), replace=False)].copy()
-    last = None
-    for _ in range(rounds):
-        near = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None]).argmin(1)
-        if last is not None and (near == last).all():
-            break
-        last = near
-        for c in range(len(centres)):
-            own = x[near == c]
-            if len(own):  # a centre without rows stays
-                centres[c] = own.mean(0)
-    return centres
-
-
-def train(df: DataFrame, parts: int, centres: int = 256, rounds: int = 20, seed: int = 0, vector_col: str = "vector", max_rows: int = 100_000) -> Codebook:
-    """k-means in each part, one task a part, on at most max_rows rows (a sample by hash). Raises if there are fewer rows than centres."""
+def nearest(x: np.ndarray, centres: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Number of each row's nearest centre; of equally near ones the lowest."""
+    parts = [x[s : s + most] for s in range(0, len(x), most)]
+    return np.concatenate([((r**2).sum(1)[:, None] - 2 * r @ centres.T + (centres**2).sum(1)[None]).argmin(1) for r in parts]) if parts else np.zeros(0, np.int64)
+
+
+def kmeans(df: DataFrame, parts: int, k: int, rounds: int, seed: int, vector_col: str = "vector") -> np.ndarray:
+    """(parts, centres, width): Lloyd's rounds over all vectors, in each part of them on its own.
+
+    The first centres are the k distinct vectors of smallest hash. A round assigns rows in tasks, which return sums and counts
+    for each part and centre; only these and the centres reach the driver. It ends when no centre moves; centres
+    are rounded, as sums differ in the last bits. Fewer rows than k give as many centres as rows.
+    """
+    v = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v")).persist()
+    try:
+        first = np.array([r["v"] for r in v.distinct().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(k).collect()])
+        if not len(first):
+            raise ValueError("no vectors")
+        n, dim = len(first) if len(first) == k else v.limit(k).count(), first.shape[1]
+        if not dim or dim % parts:
+            raise ValueError(f"{dim} numbers don't split into {parts} parts")
+        centres = np.resize(first, (n, dim)).reshape(n, parts, dim // parts).transpose(1, 0, 2).copy()
+        for _ in range(rounds):
+            total, count = _sums(v, centres)
+            new = np.round(np.where(count[:, :, None] > 0, total / np.maximum(count, 1)[:, :, None], centres), 12)  # a centre without rows stays
+            still = np.array_equal(new, centres)
+            centres = new
+            if still:
+                break
+        return centres
+    finally:
+        v.unpersist()
+
+
+def _sums(v: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each part and centre, the sum and the number of the rows nearest to it."""
+    m, k, w = centres.shape
+
+    def run(batches):
+        total, count = np.zeros((m, k, w)), np.zeros((m, k), np.int64)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).reshape(len(pdf), m, w)
+                for p in range(m):
+                    near = nearest(x[:, p], centres[p])
+                    np.add.at(total[p], near, x[:, p])
+                    count[p] += np.bincount(near, minlength=k)
+        at = np.argwhere(count > 0)
+        yield pd.DataFrame({"part": at[:, 0], "centre": at[:, 1], "n": count[count > 0], "x": list(total[count > 0])})
+
+    each = v.mapInPandas(run, "part int, centre int, n long, x array<double>")
+    total, count = np.zeros((m, k, w)), np.zeros((m, k), np.int64)
+    for r in each.groupBy("part", "centre").agg(F.sum("n").alias("n"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(w)]).collect():
+        count[r["part"], r["centre"]] = r["n"]
+        total[r["part"], r["centre"]] = r[3:]
+    return total, count
+
+
+def train(df: DataFrame, parts: int, centres: int = 256, rounds: int = 20, seed: int = 0, vector_col: str = "vector") -> Codebook:
+    """k-means in each part, over all rows. Raises if there are fewer rows than centres."""
     if not 1 <= centres <= 256:
         raise ValueError("1 to 256 centres")
-    v = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
-    n = v.count()
-    if n > max_rows:
-        v = v.orderBy(F.xxhash64("v", F.lit(seed))).limit(max_rows)
-    dim = len((v.first() or [[]])[0])
-    if not dim or dim % parts:
-        raise ValueError(f"{dim} numbers don't split into {parts} parts")
-    if n < centres:
-        raise ValueError(f"{n} rows for {centres} centres")
-    w = dim // parts
-    cut = v.select(F.posexplode(F.array(*[F.slice("v", p * w + 1, w) for p in range(parts)])).alias("part", "x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["part"].iloc[0])
-        c = _kmeans(np.stack(pdf["x"].sort_values(key=lambda s: s.map(tuple)).to_numpy()), centres, rounds, seed + p)
-        return pd.DataFrame({"part": p, "centre": np.arange(len(c)), "x": list(c)})
-
-    rows = cut.groupBy("part").applyInPandas(run, "part int, centre int, x array<double>").collect()
-    out = np.zeros((parts, centres, w))
-    for r in rows:
-        out[r["part"], r["centre"]] = r["x"]
-    return Codebook(out)
+    got = kmeans(df, parts, centres, rounds, seed, vector_col)
+    if got.shape[1] < centres:
+        raise ValueError(f"{got.shape[1]} rows for {centres} centres")
+    return Codebook(got)
 
 
 def encode(df: DataFrame, book: Codebook, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

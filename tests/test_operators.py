@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,19 @@ def test_quantiser_against_numpy(spark):
         pq.train(d, 3)
 
 
+def test_centres_of_all_vectors(spark):
+    """More rows than the 100,000 and 50,000 that training once stopped at: a round gives the means of all of them."""
+    x = np.random.default_rng(9).uniform(-1, 1, (101_000, 4)).round(3)
+    d = spark.createDataFrame(pd.DataFrame({"vector": x.tolist()}), "vector array<double>").repartition(8)
+    for train, shape in ((lambda n: pq.train(d, 2, 3, n).centres, (2, 3, 2)), (lambda n: ivf.train(d, 3, rounds=n)[None], (1, 3, 4))):
+        before, after = train(0), train(1)
+        assert before.shape == after.shape == shape
+        for p, (c, got) in enumerate(zip(before, after)):
+            own = x[:, p * shape[2] : (p + 1) * shape[2]]
+            near = ((own[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            assert np.allclose(got, [own[near == k].mean(0) for k in range(3)], rtol=0, atol=1e-6)
+
+
 def test_ring():
     r = routing.HashRing(["a", "b", "c"])
     before = {k: r.get_node(str(k)) for k in range(500)}
