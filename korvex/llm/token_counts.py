@@ -1,8 +1,9 @@
 """Operator 1, token counts: the exact token count of every prefix of a text, by prefix dynamic programming.
 
 For byte-level BPE the encoding of a prefix ends with the one token t for which the pair (last token of the
-prefix without t, t) encodes to itself; so count[i] = count[i - len(t)] + 1. This is done within each piece that
-the vocabulary's pattern cuts, and kept by piece. Cutting a text short changes the pieces before the cut in two
+prefix without t, t) encodes to itself; so count[i] = count[i - len(t)] + 1. The tokens that a prefix ends with come
+from an automaton of the vocabulary. This is done within each piece that the vocabulary's pattern cuts, for the new
+pieces of a batch in sorted order, and kept by piece. Cutting a text short changes the pieces before the cut in two
 places only, which are put right: a run of white space, whose last character otherwise belongs to the next piece,
 and the contractions of three characters.
 
@@ -18,6 +19,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +35,7 @@ from . import common as C
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUDGETS = (512, 2048)
-MOST_KEPT = 1_000_000
+MOST_KEPT, MOST_PAIRS, MOST_CHARS = 1_000_000, 2_000_000, 64
 _EXACT = regex.compile(PATTERN)
 #: The same cuts, faster, for texts without the characters that the two engines class differently.
 _FAST = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -41,96 +43,145 @@ _SPACES = re.compile(r"\s{2,}(?=\S)")
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
-    bad = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Nl", "No", "Cn", "Cs") or unicodedata.category(chr(i))[0] == "L" and not chr(i).isalpha() or 0x1C <= i <= 0x1F]
-    out, start = [], None
-    for a, b in zip(bad, [*bad[1:], None]):
-        start = a if start is None else start
-        if b != a + 1:
-            out.append(f"{re.escape(chr(start))}-{re.escape(chr(a))}")
-            start = None
-    return re.compile("[" + "".join(out) + "]")
+def _odd() -> np.ndarray:
+    """Of each character, whether the two engines class it differently."""
+    cat = [unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)]
+    out = np.array([c in ("Nl", "No", "Cn", "Cs") or c[0] == "L" and not chr(i).isalpha() for i, c in enumerate(cat)])
+    out[0x1C:0x20] = True
+    return out
+
+
+def cut(text: str) -> list[str]:
+    """The pieces that the vocabulary's pattern cuts."""
+    odd = _odd()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+    return (_EXACT if odd else _FAST).findall(text)
 
 
 class PrefixCounter:
-    """Counts by a vocabulary file of ranks. Pieces and pairs are kept over all texts."""
+    """Counts by a vocabulary file of ranks. Pieces, pairs and steps of the automaton are kept over all texts, each up to a bound.
+
+    A state of the automaton is the longest end of what was read that begins a token; ends has the tokens that what
+    was read ends with, longest first. Neighbours in sorted order share the dynamic programme of their common prefix.
+    """
 
     def __init__(self, path: str = RANKS):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("prefix-counts", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.token = {v: k for k, v in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        names = sorted({t[:k] for t in self.ranks for k in range(len(t) + 1)})
+        self.names, self.state = names, {x: k for k, x in enumerate(names)}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(names)
+        self.goto: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes | array] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b right after token a stays as it is."""
-        k = a << 32 | b
-        r = self.pairs.get(k)
-        if r is None:
-            r = self.pairs[k] = self.encoding._encode_single_piece(self.token[a] + self.token[b]) == [a, b]
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs.clear()
+        r = self.pairs[a << 32 | b] = self.encoding._encode_single_piece(self.token[a] + self.token[b]) == [a, b]
         return r
 
-    def piece(self, s: str) -> bytes | array:
-        """Steps of the count at each character of one piece, as bytes; as an array where a step is too large for one."""
-        b = s.encode("utf-8", "replace")
-        n = len(b)
-        ranks, pairs, longest = self.ranks, self.pairs, self.longest
-        last, count = [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ranks.get(b[j:i])
-                if t is not None:
-                    if j:
-                        r = pairs.get(last[j] << 32 | t)
-                        if r is None:
-                            r = self.fits(last[j], t)
-                        if not r:
-                            continue
-                    last[i], count[i] = t, count[j] + 1
+    def follow(self, at: int, byte: int) -> int:
+        """The state after one more byte."""
+        if len(self.goto) > MOST_PAIRS:
+            self.goto.clear()
+        name = self.names[at] + bytes([byte])
+        while name not in self.state:
+            name = name[1:]
+        to = self.goto[at << 8 | byte] = self.state[name]
+        if self.ends[to] is None:
+            own = ((k, self.ranks.get(name[-k:])) for k in range(len(name), 0, -1))
+            self.ends[to] = tuple((k, t) for k, t in own if t is not None)
+        return to
+
+    def piece_steps(self, pieces: list[str]) -> list[bytes | array]:
+        """Steps of the count at each character of each piece, as bytes; as an array where a step is too large for one."""
+        raw = [s.encode("utf-8", "replace") for s in pieces]
+        out: list[bytes | array] = [b""] * len(raw)
+        longest = max(map(len, raw), default=0) + 1
+        states, last, count = [self.state[b""]] * longest, [0] * longest, [0] * longest
+        goto, pairs, ends, before = self.goto.get, self.pairs.get, self.ends, b""
+        for x in sorted(range(len(raw)), key=raw.__getitem__):
+            b = raw[x]
+            n = len(b)
+            done = 0
+            for done, (p, q) in enumerate(zip(b, before)):  # noqa: B007
+                if p != q:
                     break
-        if s in ("'re", "'ve", "'ll"):
-            count[2] = 2
-        if n != len(s):
-            ends = np.flatnonzero((np.frombuffer(b + b"\0", np.uint8) & 0xC0) != 0x80).tolist()
-            count = [count[e] for e in ends]
-        step = [y - x for x, y in zip(count, count[1:])]
-        try:
-            return array("b", step).tobytes()
-        except OverflowError:
-            return array("h", step)
+            else:
+                done = min(n, len(before))
+            before, at = b, states[done]
+            for i in range(done + 1, n + 1):
+                to = goto(at << 8 | b[i - 1])
+                at = states[i] = self.follow(at, b[i - 1]) if to is None else to
+                for k, t in ends[at]:  # type: ignore[union-attr]
+                    if k == i:
+                        last[i], count[i] = t, 1
+                        break
+                    j = i - k
+                    r = pairs(last[j] << 32 | t)
+                    if r or r is None and self.fits(last[j], t):
+                        last[i], count[i] = t, count[j] + 1
+                        break
+            out[x] = _steps(pieces[x], b, count[: n + 1])
+        return out
+
+    def piece(self, s: str) -> bytes | array:
+        return self.piece_steps([s])[0]
 
     def total(self, s: str) -> int:
         return sum(array("b", p) if isinstance(p := self.piece(s), bytes) else p)
 
+    def learn(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """Pieces of each text; steps of all but long ones are kept from now on."""
+        cuts = [cut(t) if t else [] for t in texts]
+        new = {p for c in cuts for p in c if p not in self.kept and len(p) < MOST_CHARS}
+        if len(self.kept) + len(new) > MOST_KEPT:
+            self.kept.clear()
+            new = {p for c in cuts for p in c if len(p) < MOST_CHARS}
+        new_pieces = list(new)
+        self.kept.update(zip(new_pieces, self.piece_steps(new_pieces)))
+        return cuts
+
     def steps(self, text: str | None) -> np.ndarray:
         """Change of the count at each character."""
-        if not text:
-            return np.zeros(0, np.int8)
-        pieces = (_EXACT if _odd().search(text) else _FAST).findall(text)
-        got = list(map(self.kept.get, pieces))
-        if None in got:
-            if len(self.kept) > MOST_KEPT:
-                self.kept.clear()
-            for i, g in enumerate(got):
-                if g is None:
-                    g = self.kept.get(pieces[i]) or self.piece(pieces[i])
-                    got[i] = g
-                    if len(pieces[i]) < 64:
-                        self.kept[pieces[i]] = g
-        try:
-            d = np.frombuffer(b"".join(got), np.int8)
-        except TypeError:
-            d = np.concatenate([np.frombuffer(g, np.int8) if isinstance(g, bytes) else np.array(g) for g in got])
-        if m := list(_SPACES.finditer(text)):
-            d = d.astype(np.int16)
-            for x in m:
-                run, e = x.group(), x.end()
-                more = self.total(run) - self.total(run[:-1]) - self.total(run[-1])
-                d[e - 1] += more
-                d[e] -= more
-        return d
+        return next(self.steps_of([text]))
+
+    def steps_of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for text, pieces in zip(texts, self.learn(texts)):
+            if not text:
+                yield np.zeros(0, np.int8)
+                continue
+            got = list(map(self.kept.get, pieces))
+            if None in got:
+                got = [self.piece(p) if g is None else g for p, g in zip(pieces, got)]
+            try:
+                d = np.frombuffer(b"".join(got), np.int8)  # type: ignore[arg-type]
+            except TypeError:
+                d = np.concatenate([np.frombuffer(g, np.int8) if isinstance(g, bytes) else np.array(g) for g in got])
+            if m := list(_SPACES.finditer(text)):
+                d = d.astype(np.int16)
+                for x in m:
+                    run, e = x.group(), x.end()
+                    more = self.total(run) - self.total(run[:-1]) - self.total(run[-1])
+                    d[e - 1] += more
+                    d[e] -= more
+            yield d
+
+
+def _steps(s: str, b: bytes, count: list[int]) -> bytes | array:
+    if s in ("'re", "'ve", "'ll"):
+        count[2] = 2
+    if len(b) != len(s):
+        ends = np.flatnonzero((np.frombuffer(b + b"\0", np.uint8) & 0xC0) != 0x80).tolist()
+        count = [count[e] for e in ends]
+    step = [y - x for x, y in zip(count, count[1:])]
+    try:
+        return array("b", step).tobytes()
+    except OverflowError:
+        return array("h", step)
 
 
 @lru_cache(2)
@@ -164,10 +215,9 @@ def count_tokens(docs: DataFrame, ranks_path: str = RANKS, budgets: tuple[int, .
 
     def run(rows):
         c = counter(ranks_path)
-        for ids, texts in C.batches(rows, 1_000_000):
+        for ids, texts in C.batches(rows, 8_000_000):
             n, total, packed, keep = [], [], [], [[] for _ in budgets]
-            for t in texts:
-                d = c.steps(t)
+            for d in c.steps_of(texts):
                 p = np.zeros(len(d) + 1, np.int32)
                 np.cumsum(d, out=p[1:])
                 n.append(len(d))
