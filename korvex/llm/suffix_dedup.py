@@ -1,9 +1,10 @@
 """Operator 8, suffix-array dedup: threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-The passages of a group (see repeats.py), the reference's first, are joined with distinct ends and sorted by suffix.
-On their Burrows-Wheeler transform, intervals of suffixes that share L words are extended backward by one word,
-breadth first, which gives the intervals that share L + 1; so common prefixes become known in the order of their
-length. It stops at the threshold: neighbours that are still in one interval share at least so many words.
+The passages of one or more groups (see repeats.py) are joined with distinct ends and sorted by suffix. On their
+Burrows-Wheeler transform, intervals of suffixes that share L words are extended backward by one word, breadth first,
+which gives the intervals that share L + 1; so common prefixes become known in the order of their length. It stops at
+the threshold: suffixes that are still in one interval share at least so many words, and all but the earliest of an
+interval stand earlier too.
 """
 
 from __future__ import annotations
@@ -52,13 +53,14 @@ def intervals(t: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
     return parted
 
 
-def copied(reference: list[np.ndarray], others: list[np.ndarray], words: int) -> list[np.ndarray]:
-    """Of each other run, where stretches begin that stand in the reference."""
-    if not reference or not others:
-        return [np.zeros(0, np.int64) for _ in others]
-    runs = [*reference, *others]
-    names = np.unique(np.concatenate(runs), return_inverse=True)[1].astype(np.int64) + len(runs)
+def decide(groups: list[R.Group], words: int) -> list[list[np.ndarray]]:
+    """See repeats.Decide. The groups share one transform; their words are kept apart by the group's number."""
+    runs = [r for g in groups for r in g.runs]
     size = np.array([len(r) for r in runs])
+    group = np.repeat(np.arange(len(groups)), [len(g.runs) for g in groups])
+    number = np.concatenate([np.arange(len(g.runs)) for g in groups])
+    usable = np.concatenate([np.arange(len(g.runs)) < g.reference for g in groups])
+    names = np.unique(np.concatenate(runs).astype(np.uint64) | np.repeat(group, size).astype(np.uint64) << np.uint64(32), return_inverse=True)[1] + len(runs)
     t = np.empty(len(names) + len(runs), np.int64)
     end = np.cumsum(size + 1) - 1
     t[end] = np.arange(len(runs))[::-1]
@@ -66,27 +68,31 @@ def copied(reference: list[np.ndarray], others: list[np.ndarray], words: int) ->
     inside[end] = False
     t[inside] = names
     sa = suffix_array(t)
-    segment = np.cumsum(intervals(t, sa, words)) - 1
-    at = np.empty(len(t), np.int64)
-    at[sa] = segment
-    limit = end[len(reference) - 1] + 1
-    held = np.zeros(segment[-1] + 1, bool)
-    held[at[:limit][inside[:limit]]] = True
-    out = []
-    for k in range(len(reference), len(runs)):
-        own = at[end[k] - size[k] : max(end[k] - size[k], end[k] - words + 1)]
-        out.append(np.flatnonzero(held[own]))
-    return out
+    segment = np.empty(len(t), np.int64)
+    segment[sa] = np.cumsum(intervals(t, sa, words)) - 1
+    many = size - words + 1
+    owner = np.repeat(np.arange(len(runs)), many)
+    begin = np.cumsum(many) - many
+    at = np.repeat(end - size, many) + np.arange(many.sum()) - np.repeat(begin, many)
+    ok = usable[owner]
+    first = np.full(len(t), len(t), np.int64)
+    first[segment[at[ok]][::-1]] = at[ok][::-1]  # the last to be put there is the earliest place
+    whose = np.full(len(t) + 1, -1, np.int64)
+    whose[at] = number[owner]
+    earliest = first[segment[at]]
+    flat = np.where(earliest < at, whose[earliest], -1)
+    parts = iter(np.split(flat, begin[1:]))
+    return [[next(parts) for _ in g.runs] for g in groups]
 
 
 def duplicate_spans(docs: DataFrame, words: int = R.WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc): maximal spans of words to remove, words counted from 0 between white space.
 
-    A span is one whose every stretch of `words` words also stands in a document with a smaller id. Texts of fewer
-    words (also null and empty ones) and null ids have none. Rows that repeat an id are one document; if their texts
-    differ, the one with the smallest hash counts. A passage that repeats within one document only is left.
+    A span is one whose every stretch of `words` words also stands in a document with a smaller id, or earlier in the
+    same one. Texts of fewer words (also null and empty ones) and null ids have none. Rows that repeat an id are one
+    document; if their texts differ, the one with the smallest hash counts.
     """
-    return R.spans(docs, copied, words)
+    return R.spans(docs, decide, words)
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

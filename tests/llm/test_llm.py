@@ -213,22 +213,21 @@ def brute_spans(texts, words):
     first = {}
     for i in sorted(ws):
         for p in range(len(ws[i]) - words + 1):
-            first.setdefault(tuple(ws[i][p : p + words]), i)
+            first.setdefault(tuple(ws[i][p : p + words]), (i, p))
     out = set()
     for i, w in ws.items():
-        hit = [p for p in range(len(w) - words + 1) if first[tuple(w[p : p + words])] < i]
+        hit = [p for p in range(len(w) - words + 1) if first[tuple(w[p : p + words])] < (i, p)]
         while hit:
             end, k = hit[0] + words, 0
             while k + 1 < len(hit) and hit[k + 1] <= end:
                 k += 1
                 end = hit[k] + words
-            out.add((i, hit[0], end, first[tuple(w[hit[0] : hit[0] + words])]))
+            out.add((i, hit[0], end, first[tuple(w[hit[0] : hit[0] + words])][0]))
             hit = hit[k + 1 :]
     return out
 
 
-@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
-def test_spans_against_brute_force(spark, op):
+def repeating_texts():
     r = random.Random(6)
     passage = [[str(r.randrange(50)) for _ in range(r.randrange(10, 40))] for _ in range(6)]
     texts = {}
@@ -238,16 +237,50 @@ def test_spans_against_brute_force(spark, op):
             w += [str(r.randrange(50)) for _ in range(r.randrange(15))] + passage[r.randrange(6)]
         texts[i] = " ".join(w)
     texts[50] = texts[49] = texts[3]
+    texts[51] = "a b c " * 20  # its own repeats only
+    texts[52] = " ".join([*passage[0][:9], "x", *passage[1], "y", *passage[1]])
+    return texts
+
+
+@pytest.mark.parametrize("most", [repeats.MOST_IN_PART, 3])
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_spans_against_brute_force(spark, op, most):
+    texts = repeating_texts()
     d = make(spark, list(texts.values()))
-    found = repeats.spans(d, op.copied, 12, 4)
+    found = repeats.spans(d, op.decide, 12, 4, most)
     got = {tuple(x) for x in found.collect()}
-    assert got == brute_spans(texts, 12) and len(got) > 30
+    assert got == brute_spans(texts, 12) and len(got) > 30 and (51, 3, 60, 51) in got
     cut = {x["doc_id"]: x["text"] for x in repeats.remove(d, found).collect()}
     for i, t in texts.items():
         gone = {p for j, a, b, _ in got if j == i for p in range(a, b)}
         assert cut[i].split() == [w for p, w in enumerate(t.split()) if p not in gone]
 
 
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_the_operator_decides_the_spans(spark, op):
+    """Candidates hold stretches that don't repeat: taking all of them for copies gives another result."""
+    d = make(spark, list(repeating_texts().values()))
+    everything = lambda groups, words: [[np.zeros(len(r) - words + 1, np.int64) for r in g.runs] for g in groups]
+    words = lambda decide: sum(x["end_word"] - x["start_word"] for x in repeats.spans(d, decide, 12, 4).collect())
+    assert words(everything) > 1.2 * words(op.decide)
+
+
+def test_decisions_agree():
+    """Small alphabets, so that runs hold their own and each other's stretches, in whole and in split groups."""
+    r = np.random.default_rng(5)
+    for n in range(60):
+        runs = [r.integers(0, 3, r.integers(6, 60)).astype(np.uint32) for _ in range(8)]
+        runs[5] = runs[2]
+        g = [repeats.Group(0, 0, parts, [0, 0, 1, 2, 3, 4, 5, 6], list(range(8)), runs) for parts in (1, 2)]
+        a, b = substring_dedup.decide(g, 6), suffix_dedup.decide(g, 6)
+        assert all(x.tolist() == y.tolist() for p, q in zip(a, b) for x, y in zip(p, q))
+        first = {}
+        for k, x in enumerate(runs):
+            for p in range(len(x) - 5):
+                assert a[0][k][p] == first.get(tuple(x[p : p + 6]), -1)
+                first.setdefault(tuple(x[p : p + 6]), k)
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_spans_of_odd_rows(spark, op):
     long = " ".join(map(str, range(80)))
