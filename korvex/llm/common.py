@@ -119,6 +119,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_join(big: DataFrame, small: DataFrame, on: str, how: str, most_rows: int = 50_000) -> DataFrame:
+    """A join that sends the small side to all executors if it has at most most_rows rows, and shuffles otherwise."""
+    small = checkpointed(small)
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
 def connected_groups(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, label): label is the smallest node that an undirected edge list connects with the node.
 

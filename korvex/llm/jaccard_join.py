@@ -1,9 +1,10 @@
 """Operator 2, n-gram Jaccard join: MinHash banding, then verification on full n-gram sets.
 
-Every text becomes the set of its word n-grams. Equal sets are one node, named by its smallest document id. BANDS
-bands of ROWS MinHash values are chosen so that a pair at the threshold meets in some band with probability
-target_recall at least, at the largest ROWS (the fewest false candidates) that MOST_HASHES allows. Nodes are
-shuffled on band hashes, and all pairs of a band that their sizes allow are candidates; no bucket is capped.
+Every text becomes the set of its word n-grams. Equal sets are one node, named by its smallest document id; copies are
+counted and never gathered in one row. BANDS bands of ROWS MinHash values are chosen so that a pair at the threshold
+meets in some band with probability target_recall at least, at the largest ROWS (the fewest false candidates) that
+MOST_HASHES allows. Nodes are shuffled on band hashes, and all pairs of a band that their sizes allow are candidates; no
+band is capped, but one with more than BLOCK nodes is cut into blocks, and each pair of blocks is joined by itself.
 
 To verify, each candidate's full set has to meet its partners' once. Candidates are gathered by connected group,
 so that a set is shuffled once however many partners it has; a group larger than BLOCK nodes is cut into blocks, and
@@ -57,8 +58,8 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _nodes(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(node, ids, n, bands): one row for each distinct n-gram set that isn't empty."""
+def _sets(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(id, fp, n, bands): one row for each document whose n-gram set isn't empty; fp tells sets apart."""
 
     def run(batches):
         for ids, texts in C.batches(batches):
@@ -70,15 +71,19 @@ def _nodes(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             )
 
     each = C.id_text(docs).mapInArrow(run, "id long, fp binary, n int, bands array<long>")
-    one = each.groupBy("id").agg(F.min_by(F.struct("fp", "n", "bands"), "fp").alias("x")).select("id", "x.*")
-    return one.groupBy("fp").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "ids", "n", "bands")
+    return each.groupBy("id").agg(F.min_by(F.struct("fp", "n", "bands"), "fp").alias("x")).select("id", "x.*")
 
 
-def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+def _candidates(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """Distinct (a, b), a < b, of the nodes that share a band and whose sizes allow the threshold."""
     e = nodes.select(F.explode("bands").alias("h"), "node", "n")
-    x, y = e.select("h", F.col("node").alias("a"), F.col("n").alias("na")), e.select("h", F.col("node").alias("b"), F.col("n").alias("nb"))
-    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))).select("a", "b").distinct()
+    hot = e.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    dealt = C.small_join(e, hot, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.select("h", "node", "n", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).select("h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "node", "n", "own")
+    x, y = (dealt.withColumnsRenamed({"node": v, "n": f"n{v}", "own": f"own_{v}"}) for v in ("a", "b"))
+    once = (F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j"))
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)
+    return x.join(y, ["h", "i", "j"]).where((F.col("a") < F.col("b")) & once & fits).select("a", "b").distinct()
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
@@ -133,25 +138,43 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, block:
     return sets.groupBy("g", "i", "j").cogroup(routed.groupBy("g", "i", "j")).applyInPandas(check, "a long, b long, jaccard double")
 
 
-def _nodes_and_pairs(docs: DataFrame, threshold: float, n: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+def _nodes_and_pairs(docs: DataFrame, threshold: float, n: int, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, copies), the other documents of a node (id, node), and the nodes' pairs (a, b, jaccard)."""
     bands, rows = choose_bands(threshold, recall)
-    nodes = C.checkpointed(_nodes(docs, n, bands, rows))
-    pairs = C.checkpointed(_candidates(nodes, threshold))
-    return nodes.select("node", "ids"), _verify(docs, pairs, n, threshold, block)
+    sets = C.checkpointed(_sets(docs, n, bands, rows))
+    nodes = C.checkpointed(sets.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    copies = sets.select("id", "fp").join(nodes.where("copies > 1").select("fp", "node"), "fp").where("id != node").select("id", "node")
+    pairs = C.checkpointed(_candidates(nodes, threshold, block))
+    return nodes.select("node", "copies"), C.checkpointed(copies), C.checkpointed(_verify(docs, pairs, n, threshold, block))
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents whose n-gram sets reach the threshold.
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: pairs of documents whose n-gram sets reach the threshold.
 
-    Texts without a word (null, empty, white space) and null ids are in no pair; a text of fewer than n words is one
-    n-gram. Rows that repeat an id are one document; if their texts differ, the set with the smallest hash counts.
-    Pairs of equal sets have jaccard 1 and are found exactly; of the others each is found with probability recall or more.
+    Documents of equal sets are paired with the smallest of them only, which stands for them in all other pairs. Texts
+    without a word (null, empty, white space) and null ids are in no pair; a text of fewer than n words is one n-gram.
+    Rows that repeat an id are one document; if their texts differ, the set with the smallest hash counts. Pairs of
+    equal sets have jaccard 1 and are found exactly; of the others each is found with probability recall or more.
     """
-    nodes, pairs = _nodes_and_pairs(docs, threshold, n, recall, block)
-    a, b = nodes.select(F.col("node").alias("a"), F.col("ids").alias("ia")), nodes.select(F.col("node").alias("b"), F.col("ids").alias("ib"))
-    x = pairs.join(a, "a").join(b, "b").select(F.explode("ia").alias("x"), "ib", "jaccard").select("x", F.explode("ib").alias("y"), "jaccard")
-    same = nodes.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard")).where("x < y")
-    return x.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    _, copies, pairs = _nodes_and_pairs(docs, threshold, n, recall, block)
+    same = copies.select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(same).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+
+
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links): a row for each document that reaches the threshold with another one.
+
+    class_id is the smallest document that such pairs connect with it, and n_links the number of documents it reaches
+    the threshold with, copies included. Which rows count, and what is found, is as in join_similar.
+    """
+    nodes, copies, pairs = _nodes_and_pairs(docs, threshold, n, recall, block)
+    groups = C.connected_groups(pairs, "a", "b")
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    links = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
+    each = nodes.join(groups, "node", "left").join(links, "node", "left").where("copies > 1 or label is not null")
+    own = C.checkpointed(each.select("node", F.coalesce("label", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    rest = copies.join(own, "node").select("id", "class_id", "n_links")
+    return own.union(rest).withColumnRenamed("node", "doc_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -159,28 +182,28 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, reca
 
     Documents in no pair stay, also those with a null id or no word. Rows that share an id stay or go together.
     """
-    nodes, pairs = _nodes_and_pairs(docs, threshold, n, recall, block)
-    groups = C.connected_groups(pairs, "a", "b")
-    late = groups.where("node != label").select("node")
-    gone = nodes.join(late.withColumn("late", F.lit(True)), "node", "left").select(F.explode("ids").alias("id"), "node", "late").where(F.col("late").isNotNull() | (F.col("id") != F.col("node"))).select("id")
+    _, copies, pairs = _nodes_and_pairs(docs, threshold, n, recall, block)
+    late = C.connected_groups(pairs, "a", "b").where("node != label").select("node")
     key = C.free_name(docs, "gone")
-    gone = gone.select(F.col("id").alias(key))
+    gone = copies.select("id").union(late).withColumnRenamed("id", key)
     return docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join_similar(C.table(spark, sf_dir, "documents")).select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
+    return similar_classes(C.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 SQL = {
     "op2_ngram_jaccard_join": r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS gram FROM w WHERE len(ws) > 0),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(shared / CAST(x.n + y.n - shared AS DOUBLE), 6) AS jaccard
-FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
-WHERE shared / CAST(x.n + y.n - shared AS DOUBLE) >= 0.5 - 1e-12
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN s u ON u.doc_id = x JOIN s v ON v.doc_id = y WHERE shared / CAST(u.n + v.n - shared AS DOUBLE) >= 0.5 - 1e-12),
+c AS (SELECT DISTINCT x AS doc_id, x AS label FROM e UNION SELECT e.y, c.label FROM c JOIN e ON e.x = c.doc_id),
+m AS (SELECT doc_id, min(label) AS class_id FROM c GROUP BY doc_id),
+l AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, class_id, n_links FROM m JOIN l USING (doc_id)
 """
 }

@@ -30,7 +30,6 @@ from . import common as C
 
 WORDS, ANCHOR = 50, 10
 MOST_IN_PART = 5_000  # anchors, of about 20 stretches each, that one part of a group has
-MOST_SENT = 50_000  # rows of a table that may be sent to every executor
 FEW_WORDS = 200_000  # words of groups that an operator gets at once, if they are small
 
 
@@ -95,11 +94,6 @@ def _anchored(docs: DataFrame, words: int, k: int) -> DataFrame:
     return each.groupBy("id").agg(F.min_by(F.struct("fp", "n", "hashes"), "fp").alias("x")).select("id", "x.*")
 
 
-def _small_join(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """A join that sends the small side to all executors if it has at most MOST_SENT rows, and shuffles otherwise."""
-    return big.join(F.broadcast(small) if small.limit(MOST_SENT + 1).count() <= MOST_SENT else small, on, how)
-
-
 def candidate_runs(docs: DataFrame, words: int = WORDS, k: int = ANCHOR, most_in_part: int = MOST_IN_PART) -> tuple[DataFrame, DataFrame]:
     """Copies (doc, first, n) of whole documents, and the runs (first, parts, part, doc, start, tokens) of step 3."""
     base = C.checkpointed(_anchored(docs, words, k))
@@ -110,7 +104,7 @@ def candidate_runs(docs: DataFrame, words: int = WORDS, k: int = ANCHOR, most_in
     repeated = C.checkpointed(rows.groupBy("h").agg(F.min("doc").alias("first"), (F.count("*") + F.sum("more")).alias("c")).where("c > 1"))
     sizes = repeated.groupBy("first").agg(F.sum("c").alias("c"), F.count("*").alias("own"))
     hot = sizes.select("first", F.ceil(F.col("c") / F.greatest(F.lit(most_in_part), F.col("own") * 4)).cast("int").alias("parts")).where("parts > 1")
-    known = _small_join(repeated.select("h", "first"), hot, "first", "left").select("h", "first", F.coalesce("parts", F.lit(1)).alias("parts"))
+    known = C.small_join(repeated.select("h", "first"), hot, "first", "left").select("h", "first", F.coalesce("parts", F.lit(1)).alias("parts"))
     wanted = rows.select("h", "doc").join(known, "h").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("h", "first", "parts"))).alias("hs"))
 
     def cut(rows):
