@@ -7,7 +7,8 @@ around it are aligned with the item (match +1, mismatch and gap -1), and the bes
 is the score. So the result is that of aligning every item with every whole text.
 
 The n-grams have at most NGRAM words, and fewer where copies at the threshold needn't share one of that length: at
-0.5 a word put in after every second leaves no trigram, but half of the pairs.
+0.5 a word put in after every second leaves no trigram, but half of the pairs. An item of fewer than NGRAM words has
+one n-gram of all its words, so that it is found whole only.
 
 The benchmark's grams are sent to every task as long as there are at most MOST_WORDS words of it; a larger
 benchmark is cut into parts of that size that are searched one after the other, so nothing that is sent grows.
@@ -99,7 +100,7 @@ def _codes(w: np.ndarray, at: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def index_of(rows: list[tuple[int, str]], n: int = NGRAM) -> Index:
-    """Index of (item_id, text). Items of fewer than n words have no n-gram and are never reported; null ids and texts don't count."""
+    """Index of (item_id, text). Items of fewer than n words have no n-gram; null ids and texts don't count."""
     texts = [(i, tokens(t)) for i, t in rows if i is not None and t]
     texts = [(i, t) for i, t in texts if len(t) >= n]
     vocab: dict[str, int] = {}
@@ -194,11 +195,11 @@ class Finder:
                 found.append((i, a, b))
         return found
 
-    def scores(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
-        """(text number, item number, score) of all pairs that share a seed and may reach the threshold."""
+    def scores(self, texts: list[list[str]]) -> list[tuple[int, int, float]]:
+        """(text number, item number, score) of all pairs of cut texts and items that share a seed and may reach the threshold."""
         jobs = []
-        for t, text in enumerate(texts):
-            w = self.ix.numbers(tokens(text))
+        for t, ws in enumerate(texts):
+            w = self.ix.numbers(ws)
             jobs += [(t, i, w[a:b]) for i, a, b in self.windows(w)]
         jobs.sort(key=lambda j: (len(self.ix.items[j[1]]), len(j[2])))
         best: dict[tuple[int, int], float] = {}
@@ -210,25 +211,28 @@ class Finder:
         return [(t, i, x) for (t, i), x in best.items()]
 
 
-def document_counts(docs: DataFrame, ix: Index) -> np.ndarray:
-    """In how many rows each n-gram of the index stands."""
+def document_counts(docs: DataFrame, indexes: list[Index]) -> list[np.ndarray]:
+    """In how many rows each n-gram of each index stands; one pass over the rows."""
+    begin = np.cumsum([0, *(len(ix.codes) for ix in indexes)])
 
     def run(rows):
         for _, texts in C.batches(rows):
-            n = np.zeros(len(ix.codes), np.int64)
+            n = np.zeros(begin[-1], np.int64)
             for t in texts:
-                n[np.unique(ix.hits(ix.numbers(tokens(t)))[1])] += 1
+                ws = tokens(t)
+                for ix, b in zip(indexes, begin):
+                    n[b + np.unique(ix.hits(ix.numbers(ws))[1])] += 1
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n[k], pa.int64())], ["k", "n"])
 
-    out = np.zeros(len(ix.codes), np.int64)
-    for r in C.id_text(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(begin[-1], np.int64)
+    for r in C.id_text(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # of the benchmark's n-grams
         out[r["k"]] = r["n"]
-    return out
+    return [out[b:e] for b, e in zip(begin[:-1], begin[1:])]
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int = SEEDS, most_words: int = MOST_WORDS, threshold: float = THRESHOLD) -> list[Finder]:
-    """One Finder for each part of the benchmark and length of n-grams; items of fewer than n words are left out."""
+def finders(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int = SEEDS, most_words: int = MOST_WORDS, threshold: float = THRESHOLD) -> list[list[Finder]]:
+    """For each part of the benchmark, one Finder for each length of n-grams."""
     items = C.id_text(benchmark, "item_id").where("id is not null and length(text) > 0")
     total = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = max(1, -(-total // most_words))
@@ -237,14 +241,20 @@ def finders(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: int =
         own = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).distinct().collect()
         by_length: dict[int, list] = {}
         for r in sorted((r["id"], r["text"]) for r in own):
-            if (size := len(tokens(r[1]))) >= n:
-                by_length.setdefault(gram_length(size, threshold, n), []).append(r)
-        for q, rows in sorted(by_length.items() or [(n, [])]):
-            ix = index_of(rows, q)
-            out.append(Finder(ix, rare_seeds(ix, document_counts(docs, ix), least, threshold), threshold))
+            if size := len(tokens(r[1])):
+                by_length.setdefault(size if size < n else gram_length(size, threshold, n), []).append(r)
+        indexes = [index_of(rows, q) for q, rows in sorted(by_length.items())]
+        counts = document_counts(docs, indexes) if indexes else []
+        out.append([Finder(ix, rare_seeds(ix, df, least, threshold), threshold) for ix, df in zip(indexes, counts)])
     return out
 
 
+def _scores(own: list[Finder], texts: list[str | None]) -> list[tuple[int, int, float]]:
+    """(text number, item id, score) by all Finders of a part."""
+    cut = [tokens(t) for t in texts]
+    return [(t, f.ix.ids[i], x) for f in own for t, i, x in f.scores(cut)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """(doc_id, item_id, score): a row for each document row and item whose best alignment scores at least threshold.
 
@@ -252,10 +262,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     that stands in the benchmark twice with the same text is one; with another text, the results of both are given.
     """
 
-    def search(f: Finder) -> DataFrame:
+    def search(own: list[Finder]) -> DataFrame:
         def run(rows):
             for ids, texts in C.batches(rows):
-                got = [(ids[t], f.ix.ids[i], x) for t, i, x in f.scores(texts) if x >= threshold]
+                got = [(ids[t], i, x) for t, i, x in _scores(own, texts) if x >= threshold]
                 d, i, x = zip(*got) if got else ([],) * 3
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(x, pa.float64())], ["doc_id", "item_id", "score"])
 
@@ -266,17 +276,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """The rows, with all their columns, that no benchmark item matches; null and empty texts stay."""
-    for f in finders(docs, benchmark, n, threshold=threshold):
+    for own in finders(docs, benchmark, n, threshold=threshold):
         name = C.free_name(docs, "contaminated")
-        docs = docs.withColumn(name, _hit(f, threshold)(F.col("text").cast("string"))).where(~F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        docs = docs.withColumn(name, _hit(own, threshold)(F.col("text").cast("string"))).where(~F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs
 
 
-def _hit(f: Finder, threshold: float):
+def _hit(own: list[Finder], threshold: float):
     @F.pandas_udf("boolean")
     def hit(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text), bool)
-        for t, _, x in f.scores(text.tolist()):
+        for t, _, x in _scores(own, text.tolist()):
             out[t] |= x >= threshold
         return pd.Series(out)
 
