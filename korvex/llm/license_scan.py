@@ -1,10 +1,12 @@
 """Operator 4, licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of the text. Its word uni- and bigrams go through a multinomial logistic regression with an
+A paragraph is a line of the text, or several where lines are wrapped: a line of WRAP characters or more that ends no
+sentence goes on in the next, up to a line without a word. If a wrapped paragraph is of no family, its lines are tried
+one by one. A paragraph's word uni- and bigrams go through a multinomial logistic regression with an
 L1 penalty, so most weights are 0 and a paragraph without a weighted n-gram is unknown without being scored. It is
 trained on labelled rows, which are made from TEMPLATES and NOT_LICENCES by a fixed seed (training_rows, whose number
-is the bound of the training set), or given. Held-out rows set a temperature that calibrates the probabilities, and
-the cut below which a paragraph is unknown. A prediction is confirmed when enough of the bigrams of one of the
+is the bound of the training set), or given. Rows of templates that a fold's model hasn't seen set a temperature that
+calibrates the probabilities, and the cut below which a paragraph is unknown. A prediction is confirmed when enough of the bigrams of one of the
 family's templates, or of the paragraph, are shared.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,7 +26,9 @@ from . import common as C
 
 UNKNOWN = "unknown"
 CONFIRM = 0.5
+WRAP, FOLDS = 40, 3
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+_WORD = re.compile(r"\w")
 _STOP = frozenset("the a an of to in and or for is are be by on with as this that it at from any all not no you your may under if was were has have which whom its their such other without use do so".split())
 
 TEMPLATES: dict[str, list[str]] = {
@@ -108,6 +113,27 @@ TEMPLATES: dict[str, list[str]] = {
         "No part of this publication may be reproduced, stored or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+#: Ways to name a licence, and what is named in the same way without being one.
+FRAMES = [
+    "Released under the {}.", "This project is licensed under the {}.", "License: {}", "Distributed under the terms of the {}; see the file COPYING.",
+    "This software is available under the {} licence.", "The source code is covered by the {}, a copy of which is included.", "{}", "All files are provided under {} unless noted otherwise.",
+]
+NAMES = {
+    "MIT": ["MIT License", "MIT", "Expat MIT licence"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "New BSD licence"],
+    "GPL": ["GNU General Public License, version 3", "GPL v3", "GNU GPL version 2 or later"],
+    "LGPL": ["GNU Lesser General Public License, version 2.1", "LGPL v3", "GNU LGPL"],
+    "AGPL": ["GNU Affero General Public License, version 3", "AGPL v3", "GNU AGPL"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0", "Mozilla Public License, version 2.0"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY 3.0"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC-BY-SA 3.0"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC-BY-NC-SA 3.0"],
+    "CC0": ["CC0 1.0 Universal public domain dedication", "CC0", "public domain dedication CC0 1.0"],
+    "ISC": ["ISC License", "ISC", "ISC licence of the Internet Systems Consortium"],
+    "proprietary": ["proprietary licence, all rights reserved", "proprietary and confidential terms", "exclusive copyright of the owner, all rights reserved"],
+    "unknown": ["title of the first album", "roof of the old station", "terms of the peace treaty", "name Rainbow in 2004", "new road to the coast", "supervision of a judge", "guidance of her teacher", "care of the city"],
+}
 NOT_LICENCES = """The driver showed a licence and paid the fine. She works for a public company in the city. The general terms of trade are improving.
 Please see the file for details. Version 2.0 of the game was released in May. He was granted permission to leave the country.
 The software is distributed to schools every year. All conditions were met by the team. The source of the river is in the mountains.
@@ -129,13 +155,20 @@ def grams(paragraph: str) -> list[str]:
     return [w for w in t if w not in _STOP] + [f"{a} {b}" for a, b in zip(t, t[1:]) if a not in _STOP or b not in _STOP]
 
 
-def training_rows(n: int = 120, seed: int = 11) -> list[tuple[str, str]]:
-    """n labelled paragraphs of each family, 8 n unknown ones: whole or cut templates with words dropped, and filler around them."""
+def wordings(family: str) -> list[str]:
+    """Texts of a family: its templates, and its names in every frame."""
+    names = NAMES.get(family, [])
+    return [*TEMPLATES.get(family, []), *[f.format(names[(k + j) % len(names)]) for k, f in enumerate(FRAMES) for j in range(2)]]
+
+
+def training_rows(n: int = 120, seed: int = 11) -> list[tuple[str, str, int]]:
+    """(paragraph, family, wording): n of each family, 8 n unknown ones: whole or cut wordings with words dropped, and filler around them."""
     r = random.Random(seed)
     filler = [w for s in NOT_LICENCES for w in s.split()]
     vocabulary = [w for ts in TEMPLATES.values() for t in ts for w in t.split()]
     out = []
-    for family, ts in TEMPLATES.items():
+    for family in TEMPLATES:
+        ts = wordings(family)
         for k in range(n):
             w = ts[k % len(ts)].split()
             if len(w) > 12 and r.random() < 0.4:
@@ -147,16 +180,17 @@ def training_rows(n: int = 120, seed: int = 11) -> list[tuple[str, str]]:
                 w = [r.choice(filler) for _ in range(r.randrange(1, 8))] + w
             if r.random() < 0.4:
                 w = w + [r.choice(filler) for _ in range(r.randrange(1, 8))]
-            out.append((" ".join(w), family))
+            out.append((" ".join(w), family, k % len(ts)))
+    others = [*NOT_LICENCES, *wordings(UNKNOWN) * 3]
     for k in range(8 * n):
-        w = NOT_LICENCES[k % len(NOT_LICENCES)].split()
+        w = others[k % len(others)].split()
         how = r.random()
         if how < 0.4:
             w = [r.choice(filler) for _ in range(r.randrange(3, 30))]
         elif how < 0.6:  # words of licences in no order
             w = [r.choice(vocabulary) for _ in range(r.randrange(1, 4))] + [r.choice(filler) for _ in range(r.randrange(3, 25))]
             r.shuffle(w)
-        out.append((" ".join(w), UNKNOWN))
+        out.append((" ".join(w), UNKNOWN, k % len(others)))
     r.shuffle(out)
     return out
 
@@ -189,20 +223,17 @@ class LicenceModel:
         return (self.families[k], float(p[k])) if p[k] >= self.cut and k < len(p) - 1 else (UNKNOWN, float(p[-1]))
 
 
-def fit(rows: list[tuple[str, str]], l1: float = 3e-4, steps: int = 300) -> LicenceModel:
-    """Proximal gradient steps with momentum on three quarters of the rows; the rest calibrates. Null paragraphs or labels don't count."""
-    rows = [(p, y) for p, y in rows if p and y]
-    families = sorted({y for _, y in rows} - {UNKNOWN}) + [UNKNOWN]
-    train, held = [r for k, r in enumerate(rows) if k % 4], rows[::4]
-    names = sorted({g for p, _ in train for g in grams(p)})
+def _regress(train: list[tuple], families: list[str], l1: float, steps: int) -> LicenceModel:
+    """Proximal gradient steps with momentum."""
+    names = sorted(g for g, n in Counter(g for p, *_ in train for g in set(grams(p))).items() if n > 1)
     col = {g: k for k, g in enumerate(names)}
     x = np.zeros((len(train), len(names)), np.float32)
-    for k, (p, _) in enumerate(train):
-        x[k, [col[g] for g in set(grams(p))]] = 1
+    for k, (p, *_) in enumerate(train):
+        x[k, [col[g] for g in set(grams(p)) if g in col]] = 1
     y = np.zeros((len(train), len(families)), np.float32)
-    y[np.arange(len(train)), [families.index(f) for _, f in train]] = 1
+    y[np.arange(len(train)), [families.index(r[1]) for r in train]] = 1
     w, b = np.zeros((len(names), len(families)), np.float32), np.zeros(len(families), np.float32)
-    v, t, rate = w.copy(), 1.0, 4.0 / max(1.0, float((x.sum(1)).mean()))
+    v, t, rate = w.copy(), 1.0, 4.0 / max(1.0, float((x.sum(1)).mean()) if len(train) else 1.0)
     for _ in range(steps):
         z = x @ v + b
         e = np.exp(z - z.max(1, keepdims=True))
@@ -212,19 +243,37 @@ def fit(rows: list[tuple[str, str]], l1: float = 3e-4, steps: int = 300) -> Lice
         b = b - rate * g.sum(0)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
-    m = LicenceModel(families, {n: r.astype(np.float64) for n, r in zip(names, w) if np.abs(r).max() > 1e-6}, b.astype(np.float64), 1.0, 0.0)
-    z = np.array([m.logits(p) for p, _ in held])
-    k = np.array([families.index(f) for _, f in held], int)
+    return LicenceModel(families, {n: r.astype(np.float64) for n, r in zip(names, w) if np.abs(r).max() > 1e-6}, b.astype(np.float64), 1.0, 0.0)
 
-    def loss(temp: float) -> float:
-        q = z / temp
-        q = q - q.max(1, keepdims=True)
-        return float((np.log(np.exp(q).sum(1)) - q[np.arange(len(k)), k]).mean())
 
-    temp = min((0.2 * 1.15**i for i in range(30)), key=loss) if len(held) else 1.0
-    m = LicenceModel(families, m.weights, m.bias, temp, 0.0)
-    wrong = [1 - q[-1] for q in (m.probabilities(p) for p, f in held if f == UNKNOWN) if q.argmax() < len(families) - 1]
-    return LicenceModel(families, m.weights, m.bias, temp, float(max(0.5, np.quantile(wrong, 0.9) if wrong else 0.5)))
+def fit(rows: list[tuple], l1: float = 3e-4, steps: int = 200, folds: int = FOLDS) -> LicenceModel:
+    """A model of all rows (paragraph, family, template or nothing). Null paragraphs or families don't count.
+
+    To calibrate, a model is fitted for each fold without the templates of that fold, and judges their rows. A template
+    is its family's number of it; rows without one are dealt one by one.
+    """
+    rows = [(p, y, *(t or [k])) for k, (p, y, *t) in enumerate(rows) if p and y]
+    families = sorted({r[1] for r in rows} - {UNKNOWN}) + [UNKNOWN]
+    z, k = [], []
+    for fold in range(folds):
+        m = _regress([r for r in rows if r[2] % folds != fold], families, l1, steps)
+        held = [r for r in rows if r[2] % folds == fold]
+        z += [m.logits(r[0]) for r in held]
+        k += [families.index(r[1]) for r in held]
+    m = _regress(rows, families, l1, steps)
+    if not rows:
+        return m
+    q, of = np.array(z), np.array(k)
+
+    def probabilities(temp: float) -> np.ndarray:
+        e = np.exp((q - q.max(1, keepdims=True)) / temp)
+        return e / e.sum(1, keepdims=True)
+
+    temp = min((0.2 * 1.15**i for i in range(30)), key=lambda x: float(-np.log(np.maximum(probabilities(x)[np.arange(len(of)), of], 1e-300)).mean()))
+    p = probabilities(temp)
+    last = len(families) - 1
+    wrong = p.max(1)[(of == last) & (p.argmax(1) < last)]
+    return LicenceModel(families, m.weights, m.bias, temp, float(max(0.5, np.quantile(wrong, 0.9))) if len(wrong) else 0.5)
 
 
 @lru_cache(1)
@@ -239,7 +288,7 @@ def _pairs(paragraph: str) -> frozenset[str]:
 
 @lru_cache(1)
 def _template_pairs() -> dict[str, list[frozenset[str]]]:
-    return {f: [_pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+    return {f: [_pairs(t) for t in wordings(f)] for f in TEMPLATES}
 
 
 def template_similarity(paragraph: str, family: str) -> float:
@@ -248,17 +297,36 @@ def template_similarity(paragraph: str, family: str) -> float:
     return max((len(p & t) / min(len(p), len(t)) for t in _template_pairs().get(family, []) if p and t), default=0.0)
 
 
+def paragraphs(text: str | None) -> list[list[tuple[int, int]]]:
+    """Of each paragraph, the (start, end) of its lines. Lines without a word belong to none."""
+    out: list[list[tuple[int, int]]] = []
+    at, goes_on = 0, False
+    for line in text.split("\n") if text else []:
+        if not _WORD.search(line):
+            goes_on = False
+        else:
+            if goes_on:
+                out[-1].append((at, at + len(line)))
+            else:
+                out.append([(at, at + len(line))])
+            goes_on = len(line) >= WRAP and not line.rstrip().endswith((".", "!", "?", ":", ";"))
+        at += len(line) + 1
+    return out
+
+
 def licences(text: str | None, model: LicenceModel, lookup: frozenset[str] | None = None) -> list[tuple[int, int, int, str, float, float]]:
-    """(paragraph number, start, end, family, probability, template similarity) of each paragraph with a known family."""
+    """(paragraph number, start, end, family, probability, template similarity) of each paragraph, or line of one, with a known family."""
     out = []
-    at = 0
     words = lookup if lookup is not None else trigger_words(model)
-    for n, line in enumerate(text.split("\n") if text else []):
-        if not words.isdisjoint(_TOKEN.findall(line.lower())):
-            family, p = model.predict(line)
+    for n, lines in enumerate(paragraphs(text)):
+        likely = [(a, b) for a, b in lines if not words.isdisjoint(_TOKEN.findall(text[a:b].lower()))]  # type: ignore[index]
+        for a, b in [(lines[0][0], lines[-1][1]), *(likely if len(lines) > 1 else [])] if likely else []:
+            part = text[a:b]  # type: ignore[index]
+            family, p = model.predict(part)
             if family != UNKNOWN:
-                out.append((n, at, at + len(line), family, p, template_similarity(line, family)))
-        at += len(line) + 1
+                out.append((n, a, b, family, p, template_similarity(part, family)))
+                if a == lines[0][0] and b == lines[-1][1]:
+                    break
     return out
 
 
@@ -269,7 +337,7 @@ def trigger_words(model: LicenceModel) -> frozenset[str]:
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, paragraph, start, end, family, probability, similarity, confirmed): a row for each paragraph of a known family.
+    """(doc_id, paragraph, start, end, family, probability, similarity, confirmed): a row for each paragraph of a known family, or for its lines.
 
     Null and empty texts give none; a null id stays null; repeated rows give repeated results. Of families of equal
     probability the first by name counts.

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["token_counts", "jaccard_join", "decontaminate", "license_scan", "substring_dedup", "secret_scan", "pieces", "suffix_dedup", "quality", "fingerprints"]
+MODULES = [f"{__package__}.{m}" for m in ("token_counts", "jaccard_join", "decontaminate", "license_scan", "substring_dedup", "secret_scan", "pieces", "suffix_dedup", "quality", "fingerprints")]
 
 
 def _collect(what: str) -> dict:
     out: dict = {}
-    for m in _MODULES:
-        out |= getattr(importlib.import_module(f"{__package__}.{m}"), what)
+    for m in MODULES:
+        out |= getattr(importlib.import_module(m), what)
     return out
 
 
