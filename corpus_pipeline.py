@@ -23,8 +23,8 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay, and n_chars follows the text."""
-    return secret_scan.redact(docs)
+    """Secrets are replaced by a mark; all documents stay, and n_chars follows the text. Words of good documents are fitted on."""
+    return secret_scan.redact(docs, secret_scan.fit_on(docs, common.table(spark, sf_dir, "labels")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
