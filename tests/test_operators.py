@@ -213,9 +213,11 @@ def test_pipeline(spark):
 
 
 def test_features(spark, tmp_path):
-    assert str(extract.FeatureURI.parse("korvex://clip@v2/image")) == "korvex://clip@v2/image"
-    with pytest.raises(ValueError):
-        extract.FeatureURI.parse("korvex://clip/image")
+    assert extract.parts_of("korvex://Clip@v2/Image_1") == {"extractor": "Clip", "version": "v2", "feature_type": "Image_1"}
+    assert extract.address("clip", 2, "image") == "korvex://clip@v2/image"
+    for wrong in ("korvex://clip/image", "korvex://clip@2/image", "x korvex://clip@v2/image", "korvex://clip@v2/image\n"):
+        with pytest.raises(ValueError):
+            extract.parts_of(wrong)
     with pytest.raises(RuntimeError):
         extract.get_extractor("clip")
     (tmp_path / "in").mkdir()
