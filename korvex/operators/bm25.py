@@ -1,4 +1,9 @@
-"""Full-text search: a small query language, scored by BM25 in one pass for the statistics and one for the scores."""
+"""Full-text search: a small query language, scored by BM25.
+
+Documents are searched as they are, in one pass for the statistics and one for the scores, or by a stored index: a row
+for each document, field and token with the token's places, in folders by token, so that a search reads the rows of its
+own words only.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B, LONGEST = 1.2, 0.75, 40
@@ -120,57 +128,146 @@ def search_index(ix: DataFrame, query: str, k: int, fields: Sequence[str] = ("te
     """(id, score) of the best k matches, ties by id; a document's score is the sum over its fields. No word, no match."""
     root = parse(query)
     leaves = _leaves(root, [])
-    empty = ix.sparkSession.createDataFrame([], f"id {ix.schema['id'].dataType.simpleString()}, score double")
     if not leaves or k <= 0:
-        return empty
-    number = {w: n for n, w in enumerate(leaves)}
+        return _nothing(ix)
     words = sorted({w for x in leaves for w in x})
-    tf = ix.select("id", *[F.size(f"tokens_{f}").cast("double").alias(f"dl{i}") for i, f in enumerate(fields)], *[_count(F.col(f"tokens_{f}"), w).alias(f"tf{i}_{n}") for i, f in enumerate(fields) for w, n in number.items()])
+    tf = ix.select("id", *[F.size(f"tokens_{f}").cast("double").alias(f"dl{i}") for i, f in enumerate(fields)], *[_count(F.col(f"tokens_{f}"), w).alias(f"tf{i}_{n}") for i, f in enumerate(fields) for n, w in enumerate(leaves)])
     counts = [F.sum(F.array_contains(f"tokens_{f}", w).cast("long")).alias(f"df{i}_{m}") for i, f in enumerate(fields) for m, w in enumerate(words)]
     st = ix.agg(F.count("*").alias("n"), *[F.avg(F.size(f"tokens_{f}")).alias(f"avg{i}") for i, f in enumerate(fields)], *counts).first()
-    if not st["n"]:
-        return empty
+    df = {(i, w): st[f"df{i}_{m}"] for i in range(len(fields)) for m, w in enumerate(words)}
+    return _rank(tf, root, leaves, st["n"], [st[f"avg{i}"] for i in range(len(fields))], df, k) if st["n"] else _nothing(ix)
+
+
+def _nothing(ix: DataFrame) -> DataFrame:
+    return ix.sparkSession.createDataFrame([], f"id {ix.schema['id'].dataType.simpleString()}, score double")
 
-    def idf(i: int, leaf: tuple[str, ...]) -> float:
-        return sum(math.log(1 + (st["n"] - d + 0.5) / (d + 0.5)) for d in (st[f"df{i}_{words.index(w)}"] for w in leaf))
+
+def _rank(tf: DataFrame, root: Node, leaves: list[tuple[str, ...]], n: int, average: list[float], df: dict[tuple[int, str], int], k: int) -> DataFrame:
+    """The best k of (id, dl<field>, tf<field>_<leaf>), by the number of documents, the fields' mean lengths and the words' document counts."""
+    number = {w: x for x, w in enumerate(leaves)}
+    fields = range(len(average))
 
     def leaf_score(i: int, w: tuple[str, ...]) -> Column:
         t = F.col(f"tf{i}_{number[w]}").cast("double")
-        return F.lit(idf(i, w)) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col(f"dl{i}") / max(st[f"avg{i}"] or 0.0, 1e-9)))
+        idf = sum(math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in (df.get((i, x), 0) for x in w))
+        return F.lit(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col(f"dl{i}") / max(average[i] or 0.0, 1e-9)))
 
-    def hit(n: Node) -> Column:
-        if n.words:
+    def hit(x: Node) -> Column:
+        if x.words:
             out = F.lit(False)
-            for i in range(len(fields)):
-                out = out | (F.col(f"tf{i}_{number[n.words]}") > 0)
+            for i in fields:
+                out = out | (F.col(f"tf{i}_{number[x.words]}") > 0)
             return out
-        if not n.must and not n.should:
+        if not x.must and not x.should:
             return F.lit(False)
         out = F.lit(True)
-        for x in n.must:
-            out = out & hit(x)
-        if n.should and not n.must:
+        for y in x.must:
+            out = out & hit(y)
+        if x.should and not x.must:
             some = F.lit(False)
-            for x in n.should:
-                some = some | hit(x)
+            for y in x.should:
+                some = some | hit(y)
             out = out & some
-        for x in n.never:
-            out = out & ~hit(x)
+        for y in x.never:
+            out = out & ~hit(y)
         return out
 
-    def score(n: Node) -> Column:
-        if n.words:
-            out = F.lit(0.0)
-            for i in range(len(fields)):
-                out = out + leaf_score(i, n.words)
-            return out
+    def score(x: Node) -> Column:
         out = F.lit(0.0)
-        for x in (*n.must, *n.should):
-            out = out + F.when(hit(x), score(x)).otherwise(0.0)
+        if x.words:
+            for i in fields:
+                out = out + leaf_score(i, x.words)
+            return out
+        for y in (*x.must, *x.should):
+            out = out + F.when(hit(y), score(y)).otherwise(0.0)
         return out
 
     return tf.where(hit(root)).select("id", score(root).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def bucket_of(token: str, buckets: int) -> int:
+    """The folder of a token, as Spark's xxhash64 of it says."""
+    h = xxhash.xxh64_intdigest(token.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def write_index(docs: DataFrame, path: str, fields: Sequence[str] = ("text",), id_col: str = "id", buckets: int = 16, rows_in_file: int = 5_000_000) -> None:
+    """Stores postings (bucket, token, field, id, length, places) and the fields' totals at a path, in place of what is there.
+
+    Rows of a folder are dealt by document to as many tasks as they need, so a token of most documents is no one task's.
+    """
+    kind = docs.schema[id_col].dataType
+    arrow = pa.string() if kind.simpleString() == "string" else pa.int64()
+    name = "string" if arrow == pa.string() else "long"
+    tokenised = index(docs.where(F.col(id_col).isNotNull()), fields, id_col)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            out: list[list] = [[], [], [], [], []]
+            for i, f in enumerate(fields):
+                for x, own in zip(ids, b.column(1 + i).to_pylist()):
+                    if not own:
+                        continue
+                    words, code = np.unique(np.array(own, dtype=object), return_inverse=True)
+                    order = np.argsort(code, kind="stable")
+                    cut = np.searchsorted(code[order], np.arange(len(words) + 1))
+                    out[0] += words.tolist()
+                    out[1] += [f] * len(words)
+                    out[2] += [x] * len(words)
+                    out[3] += [len(own)] * len(words)
+                    out[4] += [order[p:q].tolist() for p, q in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), arrow, pa.int32(), pa.list_(pa.int32())))], ["token", "field", "id", "length", "places"])
+
+    rows = tokenised.select(F.col("id").cast(name), *[f"tokens_{f}" for f in fields]).mapInArrow(run, f"token string, field string, id {name}, length int, places array<int>")
+    totals = tokenised.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.size(f"tokens_{f}")), F.lit(0)).cast("long").alias(f"size_{f}") for f in fields]).first()
+    docs.sparkSession.createDataFrame([(f, totals["n"], totals[f"size_{f}"], buckets) for f in fields], "field string, documents long, tokens long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    tasks = max(1, -(-sum(totals[f"size_{f}"] for f in fields) // (buckets * rows_in_file)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(tasks)))
+    rows.repartition("bucket", "deal").drop("deal").sortWithinPartitions("bucket", "token", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, k: int, fields: Sequence[str] = ("text",)) -> DataFrame:
+    """As search(), by a stored index: the rows of the query's words are read, and gathered by document."""
+    root = parse(query)
+    leaves = _leaves(root, [])
+    words = sorted({w for x in leaves for w in x})
+    totals = {r["field"]: r for r in spark.read.parquet(f"{path}/totals").where(F.col("field").isin(*fields)).collect()}
+    if missing := sorted(set(fields) - set(totals)):
+        raise ValueError(f"the index has no field {missing}")
+    n = totals[fields[0]]["documents"]
+    if not n:
+        return spark.createDataFrame([], "id string, score double")
+    p = spark.read.parquet(f"{path}/postings")
+    if not leaves or k <= 0:
+        return _nothing(p)
+    buckets = sorted({bucket_of(w, totals[fields[0]]["buckets"]) for w in words})
+    p = p.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*words) & F.col("field").isin(*fields))
+    df = {(fields.index(r["field"]), r["token"]): r["count"] for r in p.groupBy("field", "token").count().collect()}  # of the query's words
+    place = lambda f, w: F.first(F.when((F.col("field") == f) & (F.col("token") == w), F.col("places")), ignorenulls=True)
+    aggs = [F.coalesce(F.max(F.when(F.col("field") == f, F.col("length"))), F.lit(0)).cast("double").alias(f"dl{i}") for i, f in enumerate(fields)]
+    aggs += [F.coalesce(place(f, w), F.array().cast("array<int>")).alias(f"p{i}_{m}") for i, f in enumerate(fields) for m, w in enumerate(words)]
+
+    def count(i: int, leaf: tuple[str, ...]) -> Column:
+        own = [F.col(f"p{i}_{words.index(w)}") for w in leaf]
+
+        def follows(x: Column) -> Column:
+            out = F.lit(True)
+            for step, c in enumerate(own[1:], 1):
+                out = out & F.array_contains(c, x + step)
+            return out
+
+        return F.size(own[0] if len(own) == 1 else F.filter(own[0], follows))
+
+    tf = p.groupBy("id").agg(*aggs).select("id", *[f"dl{i}" for i in range(len(fields))], *[count(i, w).alias(f"tf{i}_{m}") for i in range(len(fields)) for m, w in enumerate(leaves)])
+    return _rank(tf, root, leaves, n, [totals[f]["tokens"] / n for f in fields], df, k)
+
+
+def num_docs(spark: SparkSession, path: str) -> int:
+    """Documents of a stored index."""
+    r = spark.read.parquet(f"{path}/totals").first()
+    return r["documents"] if r else 0
+
+
 def search(docs: DataFrame, query: str, k: int, fields: Sequence[str] = ("text",), id_col: str = "id") -> DataFrame:
     return search_index(index(docs, fields, id_col), query, k, fields)

@@ -88,7 +88,8 @@ def _sums(v: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     np.add.at(total[p], near, x[:, p])
                     count[p] += np.bincount(near, minlength=k)
         at = np.argwhere(count > 0)
-        yield pd.DataFrame({"part": at[:, 0], "centre": at[:, 1], "n": count[count > 0], "x": list(total[count > 0])})
+        if len(at):
+            yield pd.DataFrame({"part": at[:, 0], "centre": at[:, 1], "n": count[count > 0], "x": list(total[count > 0])})
 
     each = v.mapInPandas(run, "part int, centre int, n long, x array<double>")
     total, count = np.zeros((m, k, w)), np.zeros((m, k), np.int64)

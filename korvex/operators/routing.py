@@ -6,6 +6,8 @@ import bisect
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,16 +49,15 @@ class HashRing:
         return (self.get_nodes(key) or [None])[0]
 
     def column(self, key: Column) -> Column:
-        """The node of each key. The ring is a literal, searched by the hash's first hex digits, so a row looks at a few places only."""
+        """The node of each key, null for a null one: a binary search of the ring for a batch of hashes at once."""
         if not self._ring:
             return F.lit(None).cast("string")
-        rows = [(h, n) for h, n in self._ring]
-        buckets: list[list[tuple[str, str]]] = []
-        for b in range(256):
-            first = bisect.bisect_left(rows, (f"{b:02x}", ""))
-            last = bisect.bisect_left(rows, (f"{b + 1:02x}" if b < 255 else "g", ""))
-            buckets.append(rows[first:last] + [("g", rows[last % len(rows)][1])])
-        at = F.array(*[F.array(*[F.struct(F.lit(h).alias("h"), F.lit(n).alias("n")) for h, n in b]) for b in buckets])
-        digest = F.md5(key.cast("string").cast("binary"))
-        own = F.element_at(at, F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") + 1)
-        return F.when(key.isNotNull(), F.element_at(F.filter(own, lambda x: x["h"] >= digest), 1)["n"])
+        places = np.array([h for h, _ in self._ring])
+        names = np.array([n for _, n in self._ring], dtype=object)
+
+        @F.pandas_udf("string")
+        def owner(digest: pd.Series) -> pd.Series:
+            at = np.searchsorted(places, digest.fillna("").to_numpy(dtype=places.dtype)) % len(places)
+            return pd.Series(names[at]).where(digest.notna().to_numpy(), None)
+
+        return owner(F.md5(key.cast("string").cast("binary")))

@@ -22,7 +22,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np
     sizes = np.diff(np.asarray(kept.offsets)) if len(kept) else np.zeros(0)
     if (sizes != dim).any():
         raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} numbers, {dim} expected")
-    return ok, np.asarray(kept.flatten(), dtype=np.float64).reshape(-1, dim)
+    return ok, np.asarray(kept.flatten(), dtype=np.float64).reshape(len(kept), dim)
 
 
 def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -33,10 +33,10 @@ def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     q, r = (queries**2).sum(1)[:, None], (rows**2).sum(1)[None]
     if metric == "cosine":
         return dot / np.maximum(np.sqrt(q * r), FLOOR)
-    out = np.empty_like(dot)
-    for k in range(len(queries)):  # differences first: equal vectors are at distance 0 exactly
-        out[k] = -np.sqrt(((rows - queries[k]) ** 2).sum(1))
-    return out
+    out = q + r - 2 * dot
+    near = np.nonzero(out < 1e-2 * (q + r))  # differences lose digits there: equal vectors are at distance 0 exactly
+    out[near] = ((queries[near[0]] - rows[near[1]]) ** 2).sum(1)
+    return -np.sqrt(np.maximum(out, 0))
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -74,11 +74,11 @@ def topk_batch(df: DataFrame, queries: Sequence[tuple[object, Sequence[float]]],
 
 
 def _scan(df, queries, k, metric, id_col, vector_col, kind, qkind, schema) -> DataFrame:
-    names = [q for q, _ in queries]
-    q = np.array([v for _, v in queries], np.float64)
+    shared = df.sparkSession.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64)))
     at, qt = (pa.string() if x == "string" else pa.int64() for x in (kind, qkind))
 
     def run(batches):
+        names, q = shared.value
         best_ids, best_scores = [[] for _ in names], [[] for _ in names]
         for b in batches:
             ok, rows = matrix(b.column(1), q.shape[1])
@@ -105,36 +105,74 @@ def topk(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine",
     return topk_batch(df, [(0, query)], k, metric, id_col, vector_col).select("id", "score")
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine", left_id: str = "id", right_id: str = "id", left_vector: str = "vector", right_vector: str = "vector", block: int = 4096) -> DataFrame:
+def best_of_rows(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best columns of each row, best first, ties by id; ids ascend."""
+    k = min(k, s.shape[1])
+    if not k or not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s = np.round(s, 12)
+    edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k, None]
+    row, col = np.nonzero(s >= edge)
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+
+def _join_small(left: DataFrame, right: DataFrame, k: int, metric: str) -> DataFrame:
+    """Left rows against the whole right side, sent to the tasks: no shuffle of the right side and no merge."""
+    rows = right.orderBy("id").toArrow()
+    ids = rows.column("id").to_numpy()
+    dim = len(rows.column("v")[0]) if len(ids) else 0
+    shared = left.sparkSession.sparkContext.broadcast((ids, matrix(rows.column("v"), dim)[1]))
+
+    def run(batches):
+        ids, q = shared.value
+        for b in batches:
+            own = b.column(0).to_numpy()
+            for start in range(0, len(own), step := max(1, 4_000_000 // max(1, len(ids)))) if len(ids) else ():
+                x = matrix(b.column(1).slice(start, step), q.shape[1])[1]
+                s = scores(x, q, metric)
+                row, col = best_of_rows(s, ids, k)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(own[start + row]), pa.array(ids[col]), pa.array(s[row, col]), pa.array(rank.astype(np.int32))], ["left_id", "right_id", "score", "rank"])
+
+    return left.mapInArrow(run, "left_id long, right_id long, score double, rank int")
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine", left_id: str = "id", right_id: str = "id", left_vector: str = "vector", right_vector: str = "vector", block: int = 4096, most_values: int = MOST_QUERY_VALUES) -> DataFrame:
     """(left_id, right_id, score, rank): the k best right rows for each left row, both sides of any size.
 
-    The smaller work unit is a pair of blocks: rows of both sides are dealt to blocks, each pair of blocks is scored by
-    one matrix product in a task, and the best k of each left row are merged. Rows without vector are left out.
+    A right side of at most most_values numbers goes to every task. Otherwise rows of both sides are dealt to blocks,
+    each pair of blocks is scored by one matrix product in a task, and the best k of each left row are merged; that is
+    quadratic work, for which ivf.knn_join is the approximate way. Rows without vector are left out.
     """
     metric = metric_name(metric)
-    n = {}
-    for name, d, v in (("l", left, left_vector), ("r", right, right_vector)):
-        n[name] = max(1, -(-d.where(F.col(v).isNotNull()).count() // block))
-    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    side = lambda d, i, v, own, other: (
-        d.where(F.col(v).isNotNull() & F.col(i).isNotNull())
-        .select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
-        .withColumn("own", deal("id", n[own]))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1))))
-    )
-    a, b = side(left, left_id, left_vector, "l", "r").withColumnsRenamed({"own": "i", "other": "j"}), side(right, right_id, right_vector, "r", "l").withColumnsRenamed({"own": "j", "other": "i"})
+    a, b = _vectors(left, left_id, left_vector), _vectors(right, right_id, right_vector)
+    size = b.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
+    rows = a.count()
+    if size["values"] <= most_values:  # few rows are dealt anew, so that all cores have some
+        return _join_small(a.repartition(a.sparkSession.sparkContext.defaultParallelism) if rows <= 1_000_000 else a, b, k, metric)
+    parts = {"l": max(1, -(-rows // block)), "r": max(1, -(-size["n"] // block))}
+    deal = lambda d, own, other, i, j: d.withColumn(i, F.pmod(F.xxhash64("id"), F.lit(parts[own])).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))))
+    x, y = deal(a, "l", "r", "i", "j"), deal(b, "r", "l", "j", "i")
 
     def pair(x, y):
         import pandas as pd
 
-        if not len(x) or not len(y):
-            return pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        s, ids, out = scores(np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), metric), y["id"].to_numpy(), []
-        for row, i in zip(s, x["id"].to_numpy()):
-            keep = best(row, ids, k)
-            out.append(pd.DataFrame({"left_id": i, "right_id": ids[keep], "score": row[keep]}))
-        return pd.concat(out)
+        y = y.sort_values("id")
+        ids, own, out = y["id"].to_numpy(), x["id"].to_numpy(), []
+        right = np.stack(y["v"].to_numpy()) if len(y) else None
+        for start in range(0, len(x), 1024) if len(y) else ():
+            s = scores(np.stack(x["v"].to_numpy()[start : start + 1024]), right, metric)
+            row, col = best_of_rows(s, ids, k)
+            out.append(pd.DataFrame({"left_id": own[start + row], "right_id": ids[col], "score": s[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(pair, "left_id long, right_id long, score double")
+    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(pair, "left_id long, right_id long, score double")
     w = Window.partitionBy("left_id").orderBy(F.round("score", 12).desc(), "right_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,10 +6,12 @@ the top_k of the search that made it, which is why stages may order it as a whol
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,19 +156,38 @@ def mmr_stage(ctx: Context, p: Mapping) -> DataFrame:
 
 @register_stage("document_enrich")
 def document_enrich(ctx: Context, p: Mapping) -> DataFrame:
-    """The fields of the nearest document of another namespace, put into the payload with a prefix, and its score. Rows without vector stay as they are."""
+    """Puts fields of the nearest document of another namespace, and its score, into the payload under names with a prefix.
+
+    vector_field names a list of numbers in the payload to search by, in place of the row's vector. Of top_k matches
+    the best one counts. A field that is there already is replaced. Rows without a vector, and all rows where no
+    namespace is named or it has no vectors, stay as they are.
+    """
+    if not p.get("target_namespace"):
+        return ctx.results
     other, prefix = ctx.others[p["target_namespace"]], p.get("prefix", "enriched_")
-    left = ctx.results.select("pos", "vector")
-    right = other.select("id", F.col("dense").cast("array<double>").alias("dense"), "payload").withColumn("rid", F.xxhash64("id"))
-    best = topk.knn_join(left, right, 1, "cosine", "pos", "rid", "vector", "dense").select(F.col("left_id").alias("pos"), F.col("right_id").alias("rid"), F.col("score").alias(f"{prefix}score"))
-    found = best.join(right.select("rid", F.col("payload").alias("__payload")), "rid").drop("rid")
+    name = p.get("vector_field", "dense_vector")
+    by = F.col("vector") if name == "dense_vector" else F.try_variant_get(filters.get(payload(), name), "$", "array<double>")
+    left = ctx.results.select("pos", by.alias("vector")).where(F.size("vector") > 0)
+    right = other.where(F.col("dense").isNotNull()).select("id", F.col("dense").cast("array<double>").alias("dense"), "payload").withColumn("rid", F.xxhash64("id"))
+    best = topk.knn_join(left, right, 1, "cosine", "pos", "rid", "vector", "dense")
+    found = best.select(F.col("left_id").alias("pos"), F.col("right_id").alias("rid"), F.col("score").alias("__score")).join(right.select("rid", F.col("payload").alias("__payload")), "rid").drop("rid")
     wanted = list(p.get("attach_fields", []))
-    as_map = lambda c: F.from_json(c, "map<string,string>")
-    got = F.transform_keys(as_map("__payload"), lambda k, v: F.concat(F.lit(prefix), k))
-    if wanted:
-        got = F.map_filter(got, lambda k, v: k.isin(*[prefix + w for w in wanted]))
+
+    @F.pandas_udf("string")
+    def merged(own: pd.Series, theirs: pd.Series, score: pd.Series) -> pd.Series:
+        out = []
+        for a, b, x in zip(own, theirs, score):
+            if x is None or x != x:
+                out.append(a)
+                continue
+            mine, got = (json.loads(t) if t else {} for t in (a, b))
+            got = got if isinstance(got, dict) else {}
+            mine = mine if isinstance(mine, dict) else {}
+            out.append(json.dumps(mine | {f"{prefix}{k}": got[k] for k in (wanted or got) if k in got} | {f"{prefix}score": x}))
+        return pd.Series(out, dtype=object)
+
     out = ctx.results.join(found, "pos", "left")
-    return out.withColumn(f"{prefix}fields", got).drop("__payload")
+    return out.withColumn("payload", merged("payload", "__payload", "__score")).select(*ctx.results.columns)
 
 
 @register_stage("rerank")
@@ -207,7 +228,7 @@ def execute(pipeline: Sequence[Mapping], ctx: Context, cancelled: Callable[[], b
 
 def execute_streaming(pipeline: Sequence[Mapping], ctx: Context, cancelled: Callable[[], bool] = lambda: False) -> Iterator[dict]:
     """Events: stage_complete with its count for each stage, then done, cancelled or error. Each stage runs as it is asked for."""
-    n = 0
+    n, held = 0, None
     for s in pipeline:
         if cancelled():
             yield {"event": "cancelled", "stages_executed": n}
@@ -218,6 +239,9 @@ def execute_streaming(pipeline: Sequence[Mapping], ctx: Context, cancelled: Call
                 raise ValueError(f"unknown stage {s['stage']!r}")
             ctx.results = STAGES[s["stage"]](ctx, s.get("params", {})).cache()
             count = ctx.results.count()
+            if held is not None:  # the next stage's results are kept by now
+                held.unpersist()
+            held = ctx.results
         except Exception as e:  # noqa: BLE001
             yield {"event": "error", "stage": s["stage"], "message": str(e)}
             return

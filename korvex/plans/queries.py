@@ -6,7 +6,6 @@ table's own vectors take every row as a query.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from korvex.functions import extract, vector
 from korvex.operators import bm25, filters, ivf, metrics, mmr, pq, routing, sparse, topk
 from korvex.plans import engine, pipeline
-from korvex.sources import store
+from korvex.sources import shards, store
 from korvex.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +104,7 @@ def dense_topk_batch(spark, sf_dir):
 @query("sharded_topk_merge", f"SELECT id, round(score, 6) AS score FROM ({_one('cosine')})")
 def sharded_topk_merge(spark, sf_dir):
     """Rows are dealt to shards by consistent hash first; the result doesn't depend on it."""
-    routed = store.route(vectors(spark, sf_dir).withColumn("key", F.col("id").cast("string")), NODES, "key")
+    routed = shards.route(vectors(spark, sf_dir).withColumn("key", F.col("id").cast("string")), NODES, "key")
     return rounded(topk.topk(routed, REQUEST, K), "score")
 
 
@@ -125,7 +124,7 @@ def vector_functions(spark, sf_dir):
 @query("ivf_all_lists", f"SELECT id, round(score, 6) AS score FROM ({_one('cosine')})")
 def ivf_all_lists(spark, sf_dir):
     """With all lists probed the inverted file is exact."""
-    e, path = vectors(spark, sf_dir), f"{store.shared_folder(spark)}/ivf-{uuid.uuid4().hex}"
+    e, path = vectors(spark, sf_dir), store.scratch(spark, "ivf")
     centres = ivf.train(e, 16)
     ivf.write(e, centres, path)
     return rounded(ivf.search(spark, path, centres, [(0, REQUEST)], K, len(centres)).select("id", "score"), "score")
@@ -222,11 +221,30 @@ _BM25 = {
     "phrase": ('"all rights reserved"', bm25_sql(["all rights reserved"], "tf0 > 0")),
     "mixed": ('("general public license" OR mit) AND license', bm25_sql(["general public license", "mit", "license"], "(tf0 > 0 OR tf1 > 0) AND tf2 > 0")),
 }
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, sf_dir) -> str:
+    """The stored index of the documents, made once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = store.scratch(spark, "text")
+        bm25.write_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 for _n, (_text, _sql) in _BM25.items():
 
     @query(f"bm25_{_n}", f"SELECT id, round(score, 6) AS score FROM ({_sql})")
     def _bm25(spark, sf_dir, text=_text):
-        return rounded(bm25.search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), text, K), "score")
+        return rounded(bm25.search_stored(spark, text_index(spark, sf_dir), text, K), "score")
+
+
+@query("bm25_without_index", f"SELECT id, round(score, 6) AS score FROM ({_BM25['or'][1]})")
+def bm25_without_index(spark, sf_dir):
+    """Documents searched as they are."""
+    return rounded(bm25.search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _BM25["or"][0], K), "score")
 
 
 # -- hybrid search
@@ -257,6 +275,20 @@ SELECT 'text' AS m, CAST(0.5 AS DOUBLE) AS w, id, score FROM ({bm25_sql(TEXT.spl
         return rounded(engine.hybrid_search(hybrid_docs(spark, sf_dir), K, dense=REQUEST, text=TEXT, method=method, weights=WEIGHTS), "score")
 
 
+_SPARSE_SOURCE = "SELECT vec_id AS id, unnest(range(64)) AS token, unnest(embedding) AS w FROM embeddings"
+_ALL_SQL = f"""
+WITH u AS ({_SPARSE_SOURCE}), sp AS (SELECT id, sum(CAST(w AS DOUBLE) * ({REQUEST_SQL})[token + 1]) AS score FROM u WHERE abs(w) > CAST(0.1 AS DOUBLE) AND ({REQUEST_SQL})[token + 1] <> 0 GROUP BY id ORDER BY score DESC, id LIMIT {K}),
+l AS (SELECT 'dense' AS m, id, score FROM ({_one("cosine")}) UNION ALL SELECT 'sparse' AS m, id, score FROM sp UNION ALL
+SELECT 'text' AS m, id, score FROM ({bm25_sql(TEXT.split(), "tf0 + tf1 + tf2 > 0", source=HYBRID_SOURCE)}))"""
+
+
+@query("hybrid_all", f"{_ALL_SQL} SELECT id, round(score, 6) AS score FROM ({_FUSED['rrf']}) ORDER BY round(score, 9) DESC, id LIMIT {K}")
+def hybrid_all(spark, sf_dir):
+    """A vector, a sparse vector and a text at once."""
+    docs = hybrid_docs(spark, sf_dir).join(sparse_vectors(spark, sf_dir), "id", "left")
+    return rounded(engine.hybrid_search(docs, K, dense=REQUEST, sparse_query=(list(range(64)), REQUEST), text=TEXT), "score")
+
+
 @query("dense_prefilter", f"SELECT id, round(score, 6) AS score FROM ({_one('cosine', 'label = 3')})")
 def dense_prefilter(spark, sf_dir):
     return rounded(engine.hybrid_search(hybrid_docs(spark, sf_dir), K, dense=REQUEST, tree={"field": "label", "op": "eq", "value": 3}, filter_mode="pre"), "score")
@@ -362,7 +394,14 @@ def centres(spark, sf_dir) -> DataFrame:
 @query("stage_document_enrich", f"{_BASE}, {CENTRES_SQL}, p AS (SELECT id, pos, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS s FROM r, c WHERE embedding IS NOT NULL), n AS (SELECT pos, max(s) AS s, arg_max(label, s) AS label FROM p GROUP BY pos) SELECT id, r.pos, round(s, 6) AS enriched_score, CAST(n.label AS VARCHAR) AS enriched_label FROM r LEFT JOIN n ON n.pos = r.pos")
 def stage_document_enrich(spark, sf_dir):
     out = run_stages(spark, sf_dir, ("document_enrich", {"target_namespace": "centres"}), others={"centres": centres(spark, sf_dir)}).results
-    return out.select("id", F.col("pos").cast("long").alias("pos"), F.round("enriched_score", 6).alias("enriched_score"), F.col("enriched_fields")["enriched_label"].alias("enriched_label"))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), F.round(F.get_json_object("payload", "$.enriched_score").cast("double"), 6).alias("enriched_score"), F.get_json_object("payload", "$.enriched_label").alias("enriched_label"))
+
+
+@query("stage_enrich_filter", f"{_BASE}, {CENTRES_SQL}, p AS (SELECT id, pos, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS s FROM r, c WHERE embedding IS NOT NULL), n AS (SELECT id, arg_max(label, s) AS label FROM p GROUP BY id) SELECT r.id, pos FROM r JOIN n USING (id) WHERE label < 5")
+def stage_enrich_filter(spark, sf_dir):
+    """What enrich puts into the payload is there for the next stage."""
+    steps = [("document_enrich", {"target_namespace": "centres", "attach_fields": ["label"]}), ("attribute_filter", {"conditions": [{"field": "enriched_label", "op": "lt", "value": 5}]})]
+    return run_stages(spark, sf_dir, *steps, others={"centres": centres(spark, sf_dir)}).results.select("id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("semantic_join", f"WITH {CENTRES_SQL}, p AS (SELECT vec_id, c.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS s FROM embeddings, c) SELECT vec_id, arg_max(label, s) AS nearest, round(max(s), 6) AS score FROM p GROUP BY vec_id")
@@ -400,9 +439,12 @@ def log_latest(spark, sf_dir):
     return store.latest(event_log(spark, sf_dir), ("user_id",)).select("user_id", "seq", "event_type")
 
 
-@query("log_time_travel", _LATEST.format(w="event_id <= 500"))
+@query("log_time_travel", _LATEST.format(w="event_id <= (SELECT max(event_id) // 2 FROM events)"))
 def log_time_travel(spark, sf_dir):
-    return store.latest(event_log(spark, sf_dir).where("seq <= 500"), ("user_id",)).select("user_id", "seq", "event_type")
+    """As of the middle of the log."""
+    log = event_log(spark, sf_dir)
+    middle = log.agg(F.max("seq")).first()[0] // 2
+    return store.latest(log.where(F.col("seq") <= middle), ("user_id",)).select("user_id", "seq", "event_type")
 
 
 def _event_documents(spark, sf_dir) -> DataFrame:
@@ -412,7 +454,7 @@ def _event_documents(spark, sf_dir) -> DataFrame:
 
 @query("store_catalog", "SELECT event_type AS namespace, count(*) AS documents FROM events GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM events")
 def store_catalog(spark, sf_dir):
-    s = store.Store(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s = store.Store(spark, store.scratch(spark, "store"))
     s.upsert(_event_documents(spark, sf_dir))
     return s.catalog()
 
@@ -420,7 +462,7 @@ def store_catalog(spark, sf_dir):
 @query("store_snapshot_and_tail", "SELECT CAST(event_id AS VARCHAR) AS id, 'upsert' AS op FROM events UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'upsert' FROM customer")
 def store_snapshot_and_tail(spark, sf_dir):
     """Events in a snapshot and customers in the log after it: the view joins both, in another namespace each."""
-    s = store.Store(spark, f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s = store.Store(spark, store.scratch(spark, "store"))
     s.upsert(_event_documents(spark, sf_dir))
     s.snapshot()
     s.upsert(table(spark, sf_dir, "customer").select(F.lit("customers").alias("namespace"), F.col("c_custkey").cast("string").alias("id")))
@@ -430,7 +472,7 @@ def store_snapshot_and_tail(spark, sf_dir):
 @query("change_stream", _LATEST.format(w="true"))
 def change_stream(spark, sf_dir):
     """The log is written as files, read as a stream and merged into a table of newest rows."""
-    base = f"{store.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = store.scratch(spark, "stream")
     e = event_log(spark, sf_dir).withColumn("ts", F.current_timestamp()).withColumns({"namespace": F.lit("n"), "id": F.col("user_id").cast("string"), "payload": F.col("event_type")})
     nothing = spark.createDataFrame([], store.LOG)
     nothing.unionByName(e.select("seq", "ts", "op", "namespace", "id", "payload"), allowMissingColumns=True).repartition(4).write.parquet(f"{base}/log")
@@ -440,9 +482,17 @@ def change_stream(spark, sf_dir):
 
 @query("shard_registry", "SELECT count(DISTINCT label) AS namespaces, count(*) AS \"rows\", string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS names FROM embeddings")
 def shard_registry(spark, sf_dir):
-    path = f"{store.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    vectors(spark, sf_dir).withColumn("namespace", F.col("label").cast("string")).write.option("maxRecordsPerFile", 100).partitionBy("namespace").parquet(path)
-    return store.registry(spark, path).select("namespaces", "rows", F.concat_ws(",", F.col("names").cast("array<string>")).alias("names"))
+    own = shards.Shards(spark, store.scratch(spark, "shards"), shards.Settings(shard_size=1_000_000_000, dim=64))
+    own.bulk_index(vectors(spark, sf_dir).withColumnRenamed("label", "namespace"))
+    return own.stats().select("namespaces", "rows", F.concat_ws(",", F.col("names").cast("array<string>")).alias("names"))
+
+
+@query("shard_search", f"SELECT CAST(id AS VARCHAR) AS id, round(score, 6) AS score FROM ({_one('cosine')})")
+def shard_search(spark, sf_dir):
+    """All vectors as numbered shards of a size, and the best rows over the shards."""
+    own = shards.Shards(spark, store.scratch(spark, "shards"), shards.Settings(shard_size=max(100, vectors(spark, sf_dir).count() // 8), dim=64))
+    own.bulk_index(vectors(spark, sf_dir), "all")
+    return rounded(own.search("all", REQUEST, K).results, "score")
 
 
 _RING = f"ring AS (SELECT md5(n || ':' || i) AS h, n AS node FROM (SELECT unnest({NODES!r}) AS n) a, range(128) b(i))"
@@ -465,10 +515,10 @@ def latency_summary(spark, sf_dir):
 
 # -- features
 
-_ADDRESS = "CASE WHEN page_id % 3 = 0 THEN url ELSE 'korvex://e5_large@v' || page_id || '/embedding' END"
+_ADDRESS = "CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN 'korvex://E5_Large@v' || page_id || '/Embedding' ELSE 'korvex://e5_large@v' || page_id || '/embedding' END"
 
 
-@query("feature_uri_parse", rf"WITH p AS (SELECT page_id, {_ADDRESS} AS u FROM pages), m AS (SELECT *, regexp_matches(u, '^korvex://([a-z0-9_]+)@(v\d+)/([a-z0-9_]+)$') AS ok FROM p) SELECT page_id, CASE WHEN ok THEN regexp_extract(u, '//([a-z0-9_]+)@', 1) END AS extractor, CASE WHEN ok THEN regexp_extract(u, '@(v\d+)/', 1) END AS version, CASE WHEN ok THEN regexp_extract(u, '/([a-z0-9_]+)$', 1) END AS feature_type FROM m")
+@query("feature_uri_parse", rf"WITH p AS (SELECT page_id, {_ADDRESS} AS u FROM pages), m AS (SELECT *, regexp_matches(u, '^korvex://([A-Za-z0-9_]+)@(v\d+)/([A-Za-z0-9_]+)$') AS ok FROM p) SELECT page_id, CASE WHEN ok THEN regexp_extract(u, '//([A-Za-z0-9_]+)@', 1) END AS extractor, CASE WHEN ok THEN regexp_extract(u, '@(v\d+)/', 1) END AS version, CASE WHEN ok THEN regexp_extract(u, '/([A-Za-z0-9_]+)$', 1) END AS feature_type FROM m")
 def feature_uri_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.parse_uri(F.expr(_ADDRESS)).alias("u")).select("page_id", "u.extractor", "u.version", "u.feature_type")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 DOCUMENT = "namespace string, id string, dense array<float>, sparse struct<indices: array<bigint>, values: array<float>>, text_fields map<string,string>, payload string"
 LOG = f"seq bigint, ts timestamp, op string, {DOCUMENT}"
+MOST_SENT = 50_000  # keys of a log after a snapshot that may go to every task
 COLUMNS = ["namespace", "id", "dense", "sparse", "text_fields", "payload"]
 
 
@@ -33,24 +34,60 @@ def to_json(value) -> str:
     return json.dumps(clean(value))
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = file_system(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder with all in it; whether there was one."""
+    p, fs = file_system(spark, path)
+    return bool(fs.delete(p, True))
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    p, fs = file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one beside the warehouse is set where there is none."""
+    """The session's checkpoint folder, which all executors share.
+
+    Where none is set, one beside the warehouse is used by a local master; on a cluster that raises, as the warehouse
+    may be a folder of one machine.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that is needed in this session only."""
+    return f"{shared_folder(spark)}/korvex-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Deletes what scratch() gave paths for; results that read it must have been written."""
+    return remove(spark, f"{shared_folder(spark)}/korvex-{spark.sparkContext.applicationId}")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def log(self) -> DataFrame:
-        if not self._exists(f"{self.path}/log"):
+        if not exists(self.spark, f"{self.path}/log"):
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
 
@@ -63,7 +100,14 @@ class Store:
         if isinstance(rows, DataFrame):
             have = set(rows.columns)
             kinds = dict(x.strip().split(" ", 1) for x in ("namespace string", "id string", "dense array<float>", "sparse struct<indices: array<bigint>, values: array<float>>", "text_fields map<string,string>", "payload string"))
-            return rows.select(*[(F.col(c).cast(t) if c in have else F.lit(namespace if c == "namespace" else None).cast(t)).alias(c) for c, t in kinds.items()])
+            own = rows.select(*[(F.col(c).cast(t) if c in have else F.lit(namespace if c == "namespace" else None).cast(t)).alias(c) for c, t in kinds.items()])
+            refuse = lambda why: F.raise_error(F.lit(why))
+            whole = F.col("sparse").isNull() | F.coalesce(F.size("sparse.indices") == F.size("sparse.values"), F.lit(False))
+            return own.withColumns({
+                "id": F.when(F.col("id").isNull(), refuse("a document needs an id")).otherwise(F.col("id")),
+                "namespace": F.coalesce("namespace", F.lit(namespace)),
+                "sparse": F.when(~whole, refuse("sparse indices and values come together and are of one length")).otherwise(F.col("sparse")),
+            })
         out = []
         for r in rows:
             i, v = r.get("sparse_indices"), r.get("sparse_values")
@@ -94,8 +138,7 @@ class Store:
             base = self.spark.createDataFrame(offsets, "part long, base long")  # a row for each task of the write
             numbered = rows.join(F.broadcast(base), "part").withColumn("seq", F.col("base") + F.col("row") + 1)
             numbered.select("seq", F.current_timestamp().alias("ts"), F.lit(op).alias("op"), *COLUMNS).write.mode("append").parquet(f"{self.path}/log")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, stage)
         return at
 
     def upsert(self, rows: Iterable[Mapping] | DataFrame, namespace: str = "default") -> int:
@@ -110,7 +153,10 @@ class Store:
         return sorted(there)
 
     def view(self, as_of: int | None = None, namespace: str | None = None) -> DataFrame:
-        """Documents as they are, or were at a sequence number. From the newest fitting snapshot and the log after it."""
+        """Documents as they are, or were at a sequence number. From the newest fitting snapshot and the log after it.
+
+        A snapshot's rows are read as they are, without those that the log after it names; only that log is shuffled.
+        """
         log, base = self.log(), None
         for s in sorted(self.snapshots(), reverse=True):
             if as_of is None or s <= as_of:
@@ -119,15 +165,31 @@ class Store:
                 break
         if as_of is not None:
             log = log.where(F.col("seq") <= as_of)
-        rows = log if base is None else base.unionByName(log)
         if namespace is not None:
-            rows = rows.where(F.col("namespace") == namespace)
-        return latest(rows)
+            log, base = log.where(F.col("namespace") == namespace), base if base is None else base.where(F.col("namespace") == namespace)
+        if base is None:
+            return latest(log)
+        named = log.select("namespace", "id").distinct()
+        if named.limit(MOST_SENT + 1).count() <= MOST_SENT:
+            named = F.broadcast(named)
+        return base.join(named, ["namespace", "id"], "left_anti").select(*log.columns).unionByName(latest(log))
+
+    def get(self, ids: Iterable[str], namespace: str = "default") -> DataFrame:
+        """(id, payload) of the documents that are there."""
+        return self.view(namespace=namespace).where(F.col("id").isin(*map(str, ids))).select("id", "payload")
+
+    def count(self, namespace: str | None = None) -> int:
+        """Documents that have a payload."""
+        return self.view(namespace=namespace).where("payload is not null").count()
+
+    def tenants(self) -> list[str]:
+        """Names of namespaces with documents, in order."""
+        return [r["namespace"] for r in self.view().select("namespace").distinct().orderBy("namespace").collect()]
 
     def snapshots(self) -> list[int]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p)] if fs.exists(p) else []
+        """Sequence numbers of snapshots that were written whole."""
+        names = folders(self.spark, f"{self.path}/snapshots")
+        return [int(n.split("=")[1]) for n in names if exists(self.spark, f"{self.path}/snapshots/{n}/_SUCCESS")]
 
     def snapshot(self) -> int:
         """Writes the documents as they are; later views start there. Returns its sequence number."""
@@ -171,26 +233,20 @@ def latest(rows: DataFrame, keys: tuple[str, ...] = ("namespace", "id")) -> Data
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1 and op <> 'delete'").drop("__n")
 
 
-def write_shards(df: DataFrame, path: str, namespace: str, shard_size: int = 10_000) -> None:
-    """Rows of a namespace in files of at most shard_size rows; a later call adds files."""
-    df.withColumn("namespace", F.lit(namespace)).write.mode("append").option("maxRecordsPerFile", shard_size).partitionBy("namespace").parquet(path)
-
-
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """(namespace, shard, rows) of each file."""
-    return spark.read.parquet(path).groupBy("namespace", F.input_file_name().alias("shard")).agg(F.count("*").alias("rows"))
-
-
-def drop_namespace(spark: SparkSession, path: str, namespace: str) -> bool:
-    """Deletes a namespace's files; whether there were any."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/namespace={namespace}")
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
-
-
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """(namespaces, shards, rows, names): totals over all namespaces."""
-    s = shards(spark, path)
-    return s.agg(F.countDistinct("namespace").alias("namespaces"), F.count("*").alias("shards"), F.sum("rows").alias("rows"), F.sort_array(F.collect_set("namespace")).alias("names"))
+def all_stats(stores: Mapping[str, Store]) -> DataFrame:
+    """Stats of several stores under their names; one that can't be read gives a row with its error."""
+    out = None
+    for name, s in stores.items():
+        try:
+            rows = s.stats().withColumn("error", F.lit(None).cast("string"))
+            rows.isEmpty()  # what can't be read fails here
+        except Exception as e:  # noqa: BLE001
+            rows = s.spark.createDataFrame([(None,) * 8 + (0, str(e).split("\n")[0])], "namespace string, documents long, dense long, sparse long, texts long, payloads long, dim int, seq long, vocabulary long, error string")
+        rows = rows.withColumn("store", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no store is named")
+    return out
 
 
 def random_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
@@ -199,10 +255,3 @@ def random_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> Data
 
     raw = F.array(*[F.randn(seed + k) for k in range(dim)])
     return spark.range(n).select(F.format_string("vec_%08d", "id").alias("id"), raw.alias("v")).select("id", normalize(F.col("v")).alias("vector"))
-
-
-def route(df: DataFrame, nodes: list[str], key: str = "id") -> DataFrame:
-    """Adds node by consistent hash of the key and puts a node's rows together, so that each is written by few tasks."""
-    from korvex.operators.routing import HashRing
-
-    return df.withColumn("node", HashRing(nodes).column(F.col(key))).repartition("node")
