@@ -11,7 +11,6 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korvex.sources.store import scratch, shared_folder
+
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -96,25 +97,14 @@ def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.ListArray:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut, in the shared folder that the session names.
-
-    Where spark.checkpoint.dir is unset, as in tests, a folder beside the session's warehouse is set.
-    """
+    """The table with its lineage cut, in the shared folder that the session names (see store.shared_folder)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors share; set where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """The table written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The table written as Parquet in the shared folder, and read again; store.clear_scratch() deletes it."""
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
