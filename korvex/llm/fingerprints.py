@@ -79,11 +79,19 @@ def fingerprint(docs: DataFrame, n: int = NGRAM, bins: int = BINS, bits: int = B
 
 
 def compare(pairs: DataFrame, a: str, b: str, out: str = "similarity", bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """Adds the estimated similarity of two fingerprint columns."""
+    """Adds the estimated similarity of two fingerprint columns, as estimate() has it; null where either is null. bins * bits is a multiple of 8."""
+
+    width, chance = bins * bits // 8, 2.0**-bits
 
     @F.pandas_udf("double")
     def sim(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([estimate(p, q, bins, bits) for p, q in zip(x, y)], dtype="float64")
+        ok = (x.notna() & y.notna()).to_numpy()
+        got = np.full(len(x), np.nan)
+        p, q = (np.frombuffer(b"".join(c[ok]), np.uint8).reshape(-1, width) for c in (x, y))
+        for s in range(0, len(p), 4096):
+            differ = np.unpackbits(p[s : s + 4096] ^ q[s : s + 4096], axis=1).reshape(-1, bins, bits).any(2)
+            got[np.flatnonzero(ok)[s : s + 4096]] = np.clip((1 - differ.mean(1) - chance) / (1 - chance), 0, 1)
+        return pd.Series(got).astype("Float64").where(ok, None)
 
     return pairs.withColumn(out, sim(F.col(a), F.col(b)))
 
