@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from korvex.functions.vector import metric_name
 from korvex.operators.pq import kmeans
-from korvex.operators.topk import best, scores, topk_batch
+from korvex.operators.topk import best_of_rows, scores, topk_batch
 
 
 def train(df: DataFrame, lists: int, seed: int = 0, rounds: int = 20, vector_col: str = "vector") -> np.ndarray:
@@ -71,17 +71,17 @@ def knn_join(df: DataFrame, centres: np.ndarray, k: int, probes: int, metric: st
     left = rows.select("id", "v", F.explode("near").alias("list")).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(many, F.col("list")) - 1)))
 
     def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = [], [], []
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(x) and len(y):
+            y = y.sort_values("rid")
             ids, own, r = y["rid"].to_numpy(), x["id"].to_numpy(), np.stack(y["rv"].to_numpy())
             for s in range(0, len(x), 1024):
                 got = scores(np.stack(x["v"].to_numpy()[s : s + 1024]), r, metric)
-                for row, i in zip(got, own[s : s + 1024]):
-                    keep = best(row, ids, k)
-                    a.extend([i] * len(keep))
-                    b.extend(ids[keep].tolist())
-                    c.extend(row[keep].tolist())
-        return pd.DataFrame({"left_id": np.array(a, np.int64), "right_id": np.array(b, np.int64), "score": np.array(c, float)})
+                row, col = best_of_rows(got, ids, k)
+                a.append(own[s + row])
+                b.append(ids[col])
+                c.append(got[row, col])
+        return pd.DataFrame({"left_id": np.concatenate(a), "right_id": np.concatenate(b), "score": np.concatenate(c)})
 
     found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInPandas(pair, "left_id long, right_id long, score double")
     w = Window.partitionBy("left_id").orderBy(F.round("score", 12).desc(), "right_id")

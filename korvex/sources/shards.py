@@ -132,19 +132,33 @@ class Shards:
         staged = self.spark.read.parquet(stage).withColumn("n", F.row_number().over(Window.partitionBy("namespace", "task").orderBy("row")) - 1)
         size = staged.groupBy("namespace", "task").agg(F.count("*").alias("c"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy("namespace").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        there = [(n.split("=", 1)[1], s) for n in folders(self.spark, f"{self.path}/data") for s in self.files(n.split("=", 1)[1])] + [(r["namespace"], r["shard"]) for r in self.entries().collect()]
-        first = self.spark.createDataFrame(there, "namespace string, shard long").groupBy("namespace").agg((F.max("shard") + 1).alias("first"))
-        base = size.select("namespace", "task", before.alias("before")).join(first, "namespace", "left")
+        base = size.select("namespace", "task", before.alias("before")).join(self._next(), "namespace", "left")
         shard = F.floor((F.col("before") + F.col("n")) / self.settings.shard_size) + F.coalesce("first", F.lit(0))
         dealt = staged.join(base, ["namespace", "task"]).select("id", "vector", "namespace", shard.alias("shard"))
-        dealt.repartition("namespace", "shard").write.mode("append").partitionBy("namespace", "shard").parquet(f"{self.path}/data")
+        numbered = f"{stage}-numbered"
+        dealt.write.parquet(numbered)
+        dealt = self.spark.read.parquet(numbered)
         made = dealt.groupBy("namespace", "shard").agg(F.count("*").alias("rows"))
-        at = time.time()
-        out = f"{self.path}/registry"
-        made.select("namespace", "shard", "rows", F.lit(to_json({"dim": self.settings.dim})).alias("meta"), F.lit(False).alias("gone"), F.lit(at).alias("at")).write.mode("append").parquet(out)
+        out, meta = f"{self.path}/registry", to_json({"dim": self.settings.dim})
+
+        def enter(gone: bool) -> float:
+            at = time.time()
+            made.select("namespace", "shard", "rows", F.lit(meta).alias("meta"), F.lit(gone).alias("gone"), F.lit(at).alias("at")).write.mode("append").parquet(out)
+            return at
+
+        enter(True)  # the numbers are taken, though nothing is there yet: a writer that is lost can't leave rows in a later shard
+        dealt.repartition("namespace", "shard").write.mode("append").partitionBy("namespace", "shard").parquet(f"{self.path}/data")
+        at = enter(False)
         remove(self.spark, stage)
+        remove(self.spark, numbered)
         return self.spark.read.schema(ENTRY).parquet(out).where(F.col("at") == at).select("namespace", "shard", "rows")
 
+    def _next(self) -> DataFrame:
+        """(namespace, first): the first number that no shard of a namespace has had."""
+        if not exists(self.spark, f"{self.path}/registry"):
+            return self.spark.createDataFrame([], "namespace string, first long")
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/registry").groupBy("namespace").agg((F.max("shard") + 1).alias("first"))
+
     def datasink(self, rows: DataFrame, nodes: Sequence[str], key: str = "id") -> dict:
         """Writes (id, vector) to one namespace a node, by consistent hash of the key. {written, failed, shards_hit}; rows without id or vector fail."""
         good = F.col(key).isNotNull() & F.col("vector").isNotNull()
@@ -217,7 +231,8 @@ class Buffer:
 
     def _write(self, namespace: str, least: int) -> list[int]:
         own, made, size = self.rows.get(namespace, []), [], self.shards.settings.shard_size
-        at = max([-1, *self.shards.list(namespace), *self.shards.files(namespace)]) + 1
+        row = self.shards._next().where(F.col("namespace") == namespace).first()
+        at = row["first"] if row else 0
         while len(own) >= max(1, least):
             part, own[:] = own[:size], own[size:]
             self.shards.upload(namespace, at, [i for i, _ in part], [np.asarray(v).tolist() for _, v in part])
