@@ -23,13 +23,17 @@ RESULT = "id string, score double, payload string, vector array<double>, pos big
 
 @dataclass
 class Context:
-    """What stages work on: documents to search, other namespaces to enrich from, the results and what stages say of them."""
+    """What stages work on: documents to search, other namespaces to enrich from, the results and what stages say of them.
+
+    text_index is a stored index of the documents (bm25.write_index), if there is one.
+    """
 
     docs: DataFrame
     results: DataFrame
     others: Mapping[str, DataFrame] = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
     text_fields: Sequence[str] = ("text",)
+    text_index: str | None = None
 
 
 Stage = Callable[[Context, Mapping], DataFrame]
@@ -74,7 +78,7 @@ def number_of(name: str) -> Column:
 @register_stage("feature_search")
 def feature_search(ctx: Context, p: Mapping) -> DataFrame:
     i, v = p.get("sparse_indices"), p.get("sparse_values")
-    found = hybrid_search(ctx.docs, p.get("top_k", 50), p.get("dense_vector"), None if i is None else (i, v), p.get("text_query"), p.get("fusion", "rrf"), p.get("weights"), p.get("filter"), p.get("filter_mode", "post"), text_fields=ctx.text_fields)
+    found = hybrid_search(ctx.docs, p.get("top_k", 50), p.get("dense_vector"), None if i is None else (i, v), p.get("text_query"), p.get("fusion", "rrf"), p.get("weights"), p.get("filter"), p.get("filter_mode", "post"), text_fields=ctx.text_fields, text_index=ctx.text_index)
     kept = ctx.docs.select(F.col("id").cast("string").alias("id"), "payload" if p.get("include_payloads", True) else F.lit(None).cast("string").alias("payload"), F.col("dense").cast("array<double>").alias("vector"))
     out = found.select(F.col("id").cast("string").alias("id"), "score").join(kept, "id", "left")
     return placed(out, F.col("score").desc()).select("id", "score", "payload", "vector", "pos")

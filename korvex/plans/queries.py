@@ -221,15 +221,15 @@ _BM25 = {
     "phrase": ('"all rights reserved"', bm25_sql(["all rights reserved"], "tf0 > 0")),
     "mixed": ('("general public license" OR mit) AND license', bm25_sql(["general public license", "mit", "license"], "(tf0 > 0 OR tf1 > 0) AND tf2 > 0")),
 }
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, bool], str] = {}
 
 
-def text_index(spark, sf_dir) -> str:
-    """The stored index of the documents, made once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def text_index(spark, sf_dir, hybrid: bool = False) -> str:
+    """The stored index of the documents, or of all rows of hybrid_docs, made once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, hybrid)
     if key not in _INDEXES:
-        path = store.scratch(spark, "text")
-        bm25.write_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+        path, d = store.scratch(spark, "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+        bm25.write_index(d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id", "full") if hybrid else d, path)
         _INDEXES[key] = path
     return _INDEXES[key]
 
@@ -272,7 +272,7 @@ SELECT 'text' AS m, CAST(0.5 AS DOUBLE) AS w, id, score FROM ({bm25_sql(TEXT.spl
 
     @query(f"hybrid_{_n}", f"{_lists} SELECT id, round(score, 6) AS score FROM ({_sql}) ORDER BY round(score, 9) DESC, id LIMIT {K}")
     def _hybrid(spark, sf_dir, method=_n):
-        return rounded(engine.hybrid_search(hybrid_docs(spark, sf_dir), K, dense=REQUEST, text=TEXT, method=method, weights=WEIGHTS), "score")
+        return rounded(engine.hybrid_search(hybrid_docs(spark, sf_dir), K, dense=REQUEST, text=TEXT, method=method, weights=WEIGHTS, text_index=text_index(spark, sf_dir, True)), "score")
 
 
 _SPARSE_SOURCE = "SELECT vec_id AS id, unnest(range(64)) AS token, unnest(embedding) AS w FROM embeddings"
@@ -286,7 +286,7 @@ SELECT 'text' AS m, id, score FROM ({bm25_sql(TEXT.split(), "tf0 + tf1 + tf2 > 0
 def hybrid_all(spark, sf_dir):
     """A vector, a sparse vector and a text at once."""
     docs = hybrid_docs(spark, sf_dir).join(sparse_vectors(spark, sf_dir), "id", "left")
-    return rounded(engine.hybrid_search(docs, K, dense=REQUEST, sparse_query=(list(range(64)), REQUEST), text=TEXT), "score")
+    return rounded(engine.hybrid_search(docs, K, dense=REQUEST, sparse_query=(list(range(64)), REQUEST), text=TEXT, text_index=text_index(spark, sf_dir, True)), "score")
 
 
 @query("dense_prefilter", f"SELECT id, round(score, 6) AS score FROM ({_one('cosine', 'label = 3')})")
@@ -341,7 +341,7 @@ FROM b LEFT JOIN documents d ON d.doc_id = b.id LEFT JOIN labels y ON y.doc_id =
 
 
 def run_stages(spark, sf_dir, *stages: tuple[str, dict], others=None) -> pipeline.Outcome:
-    ctx = pipeline.start(hybrid_docs(spark, sf_dir), others=others or {})
+    ctx = pipeline.start(hybrid_docs(spark, sf_dir), others=others or {}, text_index=text_index(spark, sf_dir, True))
     return pipeline.execute([_SEARCH, *({"stage": s, "params": p} for s, p in stages)], ctx)
 
 
