@@ -32,7 +32,8 @@ def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         return dot
     q, r = (queries**2).sum(1)[:, None], (rows**2).sum(1)[None]
     if metric == "cosine":
-        return dot / np.maximum(np.sqrt(q * r), FLOOR)
+        low = np.sqrt(q.min(initial=1) * r.min(initial=1)) < FLOOR  # else no product of lengths is below it
+        return dot / np.maximum(np.sqrt(q * r), FLOOR) if low else dot / np.sqrt(q) / np.sqrt(r)
     out = q + r - 2 * dot
     near = np.nonzero(out < 1e-2 * (q + r))  # differences lose digits there: equal vectors are at distance 0 exactly
     out[near] = ((queries[near[0]] - rows[near[1]]) ** 2).sum(1)

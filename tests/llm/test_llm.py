@@ -49,7 +49,7 @@ def test_every_operator_has_a_query():
 
 ONE_EACH = {
     "tokens": token_counts.count_tokens, "licences": license_scan.scan, "secrets": secret_scan.scan, "pieces": pieces.encode_documents, "prints": fingerprints.fingerprint,
-    "pairs": jaccard_join.join_similar, "spans": substring_dedup.duplicate_spans, "spans2": suffix_dedup.duplicate_spans, "kept": jaccard_join.keep_one, "redacted": secret_scan.redact,
+    "pairs": jaccard_join.join_similar, "classes": jaccard_join.similar_classes, "spans": substring_dedup.duplicate_spans, "spans2": suffix_dedup.duplicate_spans, "kept": jaccard_join.keep_one, "redacted": secret_scan.redact,
 }
 
 
