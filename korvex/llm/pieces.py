@@ -30,7 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MOST_KEPT = 800_000
 _CUT = re.compile(r" *[^ ]+| +")
-_NEVER = 1 << 62
+_NEVER = (1 << 31) - 1
+_SLOTS = 18  # the pair table has 2 ** _SLOTS places
 _CHARS = 1 << 17  # ids of characters without a piece begin here
 _PAD = (1 << 21) - 1
 _ALL = (1 << 64) - 1
@@ -47,7 +48,7 @@ class Pieces:
     byte_ids: list[int]
     by_rank: np.ndarray
     char_id: np.ndarray
-    pair_key: np.ndarray
+    pair_key: np.ndarray  # hash table of pairs of ids, -1 where a place is free
     pair_rank: np.ndarray
     kept: dict = field(default_factory=dict)
 
@@ -85,8 +86,42 @@ def load(path: str = MODEL) -> Pieces:
             a, b = (ids.get(y, ord(y) + _CHARS if len(y) == 1 else None) for y in (x[:k], x[k:]))
             if a is not None and b is not None:
                 pairs[a << 21 | b] = r
-    key = np.array(sorted(pairs), np.int64)
-    return Pieces(ids, rank, raw, byte_ids, np.array(order, np.int64), char_id, key, np.array([pairs[k] for k in key.tolist()], np.int64))
+    return Pieces(ids, rank, raw, byte_ids, np.array(order, np.int64), char_id, *_pair_table(pairs))
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * C.M1 >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _pair_table(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ranks by place; a key whose place is taken goes to the next free one."""
+    size = 1 << _SLOTS
+    if len(pairs) * 2 > size:
+        raise ValueError(f"{len(pairs)} pairs of pieces, at most {size // 2} expected")
+    keys, ranks = np.full(size, -1, np.int64), np.full(size, _NEVER, np.int32)
+    for (k, r), at in zip(pairs.items(), _place(np.fromiter(pairs, np.int64, len(pairs))).tolist()):
+        while keys[at] >= 0:
+            at = (at + 1) % size
+        keys[at], ranks[at] = k, r
+    return keys, ranks
+
+
+def pair_ranks(p: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rank of the piece that each pair of ids merges to, or _NEVER."""
+    key = a << 21 | b
+    at = _place(key)
+    found = p.pair_key[at]
+    out = np.where(found == key, p.pair_rank[at], np.int32(_NEVER))
+    left = np.nonzero((found != key) & (found >= 0))
+    key, at = key[left], at[left]
+    while len(key):
+        at = (at + 1) & ((1 << _SLOTS) - 1)
+        found = p.pair_key[at]
+        hit = found == key
+        out[tuple(x[hit] for x in left)] = p.pair_rank[at[hit]]
+        on = ~hit & (found >= 0)
+        key, at, left = key[on], at[on], tuple(x[on] for x in left)
+    return out
 
 
 @lru_cache(64)
@@ -195,26 +230,30 @@ def word_ids(word: str, p: Pieces, table: bytes | Occurrence) -> list[int]:
 
 
 def merge_batch(words: list[str], p: Pieces, table: bytes, of: np.ndarray | None = None, keys: np.ndarray | None = None, limit: int = 0) -> list[bytes]:
-    """Packed ids of many words at once; the same as word_ids one by one.
+    """Packed ids of each of many words; see merge_flat."""
+    ids, count = merge_flat(words, p, table, of, keys, limit)
+    end = np.cumsum(count)
+    return [ids[s:e].tobytes() for s, e in zip((end - count).tolist(), end.tolist())]
+
+
+def merge_flat(words: list[str], p: Pieces, table: bytes, of: np.ndarray | None = None, keys: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many words, one after the other, and how many each has; the same as word_ids one by one.
 
     With keys, those of occurrences: occurrence x is of word of[x] and skips by keys[x] and limit, in place of the table.
     A round takes the best candidate of every word that has any; neighbours are linked by position.
     """
     of = np.arange(len(words)) if of is None else of
-    out: list[bytes] = [b""] * len(of)
+    counts = np.zeros(len(of), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []  # occurrences and their ids
+    single: list[tuple[int, array]] = []
     sizes = np.array([len(w) if SPACE not in w else 1 << 30 for w in words], np.int64)
     skip, low = np.frombuffer(table, np.uint8), 0
 
-    def rank(a, b):
-        key = a << 21 | b
-        at = np.minimum(np.searchsorted(p.pair_key, key), len(p.pair_key) - 1)
-        return np.where(p.pair_key[at] == key, p.pair_rank[at], _NEVER)
-
     def thinned(r, w, i, j, k):
         place = i * 7919 + j * 104729 + k * 1299709
         if keys is None:
-            return np.where(skip[(w ^ place) & 65535] == 1, _NEVER, r)
-        return np.where((C.mix(w + place.astype(np.uint64) * C.M1) >> np.uint64(32)) < np.uint64(limit), _NEVER, r)
+            return np.where(skip[(w ^ place) & 65535] == 1, np.int32(_NEVER), r)
+        return np.where((C.mix(w + place.astype(np.uint64) * C.M1) >> np.uint64(32)) < np.uint64(limit), np.int32(_NEVER), r)
 
     for width in _WIDTHS:
         fits = (sizes > low) & (sizes <= width)
@@ -225,14 +264,14 @@ def merge_batch(words: list[str], p: Pieces, table: bytes, of: np.ndarray | None
         own = [words[i] for i in distinct]
         text = np.full((len(own), row := width + 1), _PAD, np.int64)
         text[np.arange(row) < sizes[distinct][:, None]] = p.char_id[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        pairs = rank(text[:, :-2], text[:, 1:-1])
+        pairs = pair_ranks(p, text[:, :-2], text[:, 1:-1])
         at = (np.cumsum(fits) - 1)[of[which]]  # of each occurrence, its row of text
         crc = keys[which] if keys is not None else np.fromiter((zlib.crc32(w.replace(" ", SPACE).encode("utf-8", "replace")) for w in own), np.int64, len(own))[at]
         n, size, sym = len(which), sizes[of[which]], text[at]
         alive = np.arange(row) < size[:, None]
-        nxt = np.minimum(np.arange(1, row + 1), size[:, None])
-        prv = np.tile(np.arange(-1, row - 1), (n, 1))
-        best = np.full((n, width), _NEVER, np.int64)
+        nxt = np.minimum(np.arange(1, row + 1, dtype=np.int32), size[:, None].astype(np.int32))
+        prv = np.tile(np.arange(-1, row - 1, dtype=np.int32), (n, 1))
+        best = np.full((n, width), _NEVER, np.int32)
         i = np.arange(width - 1)
         best[:, :-1] = thinned(pairs[at], crc[:, None], i, i + 1, i + 2)
         sym, nxt, prv, best = sym.ravel(), nxt.ravel(), prv.ravel(), best.reshape(-1)
@@ -252,33 +291,44 @@ def merge_batch(words: list[str], p: Pieces, table: bytes, of: np.ndarray | None
             prv[base + k] = i
             live[base + j] = False
             best[(flat + j)[j < width]] = _NEVER
-            best[flat + i] = thinned(rank(m, sym[base + k]), w, i, k, nxt[base + k])
+            best[flat + i] = thinned(pair_ranks(p, m, sym[base + k]), w, i, k, nxt[base + k])
             h = prv[base + i]
             left = h >= 0
             h, base, flat = h[left], base[left], flat[left]
-            best[flat + h] = thinned(rank(sym[base + h], m[left]), w[left], h, i[left], k[left])
+            best[flat + h] = thinned(pair_ranks(p, sym[base + h], m[left]), w[left], h, i[left], k[left])
         live = live.reshape(n, row)
         ids, count = sym.reshape(n, row)[live], live.sum(1)
-        end = np.cumsum(count)
         odd = np.zeros(n, bool)
-        odd[np.searchsorted(end, np.flatnonzero(ids >= _CHARS), side="right")] = True
-        raw, item = ids.astype(p.code).tobytes(), np.dtype(p.code).itemsize
-        for q, e, c, bad in zip(which.tolist(), end.tolist(), count.tolist(), odd.tolist()):
-            out[q] = _with_bytes(ids[e - c : e].tolist(), p) if bad else raw[(e - c) * item : e * item]
+        odd[np.searchsorted(np.cumsum(count), np.flatnonzero(ids >= _CHARS), side="right")] = True
+        if odd.any():
+            parts = np.split(ids[np.repeat(odd, count)], np.cumsum(count[odd])[:-1])
+            single += [(q, _with_bytes(x.tolist(), p)) for q, x in zip(which[odd].tolist(), parts)]
+            which, ids, count = which[~odd], ids[np.repeat(~odd, count)], count[~odd]
+        counts[which] = count
+        done.append((which, ids))
     for q in np.flatnonzero(sizes[of] > _WIDTHS[-1]).tolist():
-        out[q] = array(p.code, word_ids(words[of[q]], p, table if keys is None else Occurrence(int(keys[q]), limit))).tobytes()
-    return out
-
-
-def _with_bytes(ids: list[int], p: Pieces) -> bytes:
-    """Packed ids, with the bytes of characters that have no piece."""
+        single.append((q, array(p.code, word_ids(words[of[q]], p, table if keys is None else Occurrence(int(keys[q]), limit)))))
+    for q, x in single:
+        counts[q] = len(x)
+    begin = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), p.code)
+    for which, ids in done:
+        count = counts[which]
+        out[np.arange(len(ids)) + np.repeat(begin[which] - (np.cumsum(count) - count), count)] = ids
+    for q, x in single:
+        out[begin[q] : begin[q] + len(x)] = x
+    return out, counts
+
+
+def _with_bytes(ids: list[int], p: Pieces) -> array:
+    """The ids, with the bytes of characters that have no piece."""
     out = array(p.code)
     for i in ids:
         if i < _CHARS:
             out.append(i)
         else:
             out.extend(p.byte_ids[b] for b in chr(i - _CHARS).replace(" ", SPACE).encode("utf-8", "replace"))
-    return out.tobytes()
+    return out
 
 
 def occurrence_keys(doc_id: int | None, n: int, seed: int) -> np.ndarray:
@@ -292,10 +342,12 @@ def encode_batch(texts: list[str | None], p: Pieces, doc_ids: list[int | None],
     cut = [_CUT.findall(" " + t) if t else [] for t in texts]
     flat = [w for ws in cut for w in ws]
     if dropout:
-        number: dict[str, int] = {}
-        of = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+        number = {w: n for n, w in enumerate(dict.fromkeys(flat))}
+        of = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         keys = np.concatenate([occurrence_keys(i, len(ws), seed) for i, ws in zip(doc_ids, cut)]) if cut else np.zeros(0, np.uint64)
-        packed = merge_batch(list(number), p, b"", of, keys, int(dropout * 2**32))
+        ids, count = merge_flat(list(number), p, b"", of, keys, int(dropout * 2**32))
+        end = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *map(len, cut)])].tolist()
+        return [ids[s:e] for s, e in zip(end[:-1], end[1:])]
     else:
         if len(p.kept) > MOST_KEPT:
             p.kept.clear()
