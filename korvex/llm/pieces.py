@@ -31,7 +31,6 @@ SPACE = "▁"
 MOST_KEPT = 800_000
 _CUT = re.compile(r" *[^ ]+| +")
 _NEVER = (1 << 31) - 1
-_SLOTS = 18  # the pair table has 2 ** _SLOTS places
 _CHARS = 1 << 17  # ids of characters without a piece begin here
 _PAD = (1 << 21) - 1
 _ALL = (1 << 64) - 1
@@ -89,17 +88,16 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(ids, rank, raw, byte_ids, np.array(order, np.int64), char_id, *_pair_table(pairs))
 
 
-def _place(key: np.ndarray) -> np.ndarray:
-    return (key.astype(np.uint64) * C.M1 >> np.uint64(64 - _SLOTS)).astype(np.int64)
+def _place(key: np.ndarray, size: int) -> np.ndarray:
+    """First place of each key in a table of `size` places, a power of two."""
+    return (key.astype(np.uint64) * C.M1 >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _pair_table(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ranks by place; a key whose place is taken goes to the next free one."""
-    size = 1 << _SLOTS
-    if len(pairs) * 2 > size:
-        raise ValueError(f"{len(pairs)} pairs of pieces, at most {size // 2} expected")
+    """Keys and ranks by place, at least four places a pair; a key whose place is taken goes to the next free one."""
+    size = 1 << (4 * len(pairs) + 4).bit_length()
     keys, ranks = np.full(size, -1, np.int64), np.full(size, _NEVER, np.int32)
-    for (k, r), at in zip(pairs.items(), _place(np.fromiter(pairs, np.int64, len(pairs))).tolist()):
+    for (k, r), at in zip(pairs.items(), _place(np.fromiter(pairs, np.int64, len(pairs)), size).tolist()):
         while keys[at] >= 0:
             at = (at + 1) % size
         keys[at], ranks[at] = k, r
@@ -108,14 +106,14 @@ def _pair_table(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_ranks(p: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rank of the piece that each pair of ids merges to, or _NEVER."""
-    key = a << 21 | b
-    at = _place(key)
+    key, size = a << 21 | b, len(p.pair_key)
+    at = _place(key, size)
     found = p.pair_key[at]
     out = np.where(found == key, p.pair_rank[at], np.int32(_NEVER))
     left = np.nonzero((found != key) & (found >= 0))
     key, at = key[left], at[left]
     while len(key):
-        at = (at + 1) & ((1 << _SLOTS) - 1)
+        at = (at + 1) % size
         found = p.pair_key[at]
         hit = found == key
         out[tuple(x[hit] for x in left)] = p.pair_rank[at[hit]]

@@ -467,6 +467,16 @@ def test_batched_merges_are_those_of_single_words():
     assert pieces.merge_batch(words, p, t) == [np.array(pieces.word_ids(w, p, t), p.code).tobytes() for w in words]
 
 
+def test_pair_table_of_any_size():
+    for n in (0, 1, 3, 50, 200_000):
+        r = np.random.default_rng(n)
+        pairs = {int(k): v for v, k in enumerate(r.integers(0, 1 << 42, n))}
+        keys, ranks = pieces._pair_table(pairs)
+        p = pieces.Pieces({}, {}, [], [], *[np.zeros(0, np.int64)] * 2, keys, ranks)
+        ask = np.concatenate([np.fromiter(pairs, np.int64, len(pairs)), r.integers(0, 1 << 42, 1000)])
+        assert pieces.pair_ranks(p, ask >> 21, ask & pieces._PAD).tolist() == [pairs.get(k, pieces._NEVER) for k in ask.tolist()]
+
+
 def test_dropout_of_each_occurrence():
     p = pieces.load()
     text = " ".join(["internationalisation"] * 3000)
