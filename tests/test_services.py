@@ -143,6 +143,22 @@ def test_stored_text_index(spark, tmp_path):
     assert bm25.search_stored(spark, path, "a", 3).count() == 0
 
 
+def test_stored_text_index_gathers_a_bounded_number_of_tokens(spark, tmp_path):
+    """A row of a token holds many documents, of most_tokens tokens or one that is longer, and nothing is searched otherwise."""
+    d = spark.createDataFrame([(i, "a b " * (1 + i % 3) + f"w{i % 7}" * (i % 2)) for i in range(100)] + [(100, "b " * 50), (101, "")], "id long, text string").coalesce(1)
+    want = {q: [(r["id"], round(r["score"], 9)) for r in bm25.search(d, q, 200).collect()] for q in ("a", '"b a"', "w3 -w5", '"a b" OR w1')}
+    for most, blocks in ((20, range(10, 102)), (10**6, range(1, 2))):
+        path = str(tmp_path / str(most))
+        bm25.write_index(d, path, most_tokens=most)
+        rows = spark.read.parquet(f"{path}/postings").where("token = 'b'").collect()
+        assert len(rows) in blocks and sum(r["documents"] for r in rows) == 101
+        assert all(r["tokens"] <= most + 7 or r["documents"] <= 4 and 100 in r["ids"] for r in rows)
+        for q, w in want.items():
+            assert [(r["id"], round(r["score"], 9)) for r in bm25.search_stored(spark, path, q, 200).collect()] == w
+    bm25.write_index(d.where("id = 101"), str(tmp_path / "empty"))  # documents without a token
+    assert bm25.search_stored(spark, str(tmp_path / "empty"), "a", 3).count() == 0 and bm25.num_docs(spark, str(tmp_path / "empty")) == 1
+
+
 def test_engine_with_all_modalities(spark, tmp_path):
     e = engine.Engine(spark, str(tmp_path / "e"), 2)
     e.batch_upsert([{"id": "x", "dense": [1.0, 0.0], "sparse_indices": [1], "sparse_values": [2.0], "text_fields": {"text": "red fox"}}, {"id": "y", "dense": [0.9, 0.1], "text_fields": {"text": "fox"}}, {"id": "z", "sparse_indices": [1, 2], "sparse_values": [1.0, 1.0]}])
