@@ -127,6 +127,23 @@ def test_store_checks_tables_and_reads_from_snapshots(spark, tmp_path):
     assert store.random_vectors(spark, 5, 3).where("abs(aggregate(vector, 0D, (s, x) -> s + x * x) - 1) < 1e-9").count() == 5
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_join_of_few_left_rows(spark, metric, monkeypatch):
+    """A left side that is the smaller one goes to the tasks, in which batches of rows are merged; the right side isn't shuffled."""
+    monkeypatch.setattr(topk, "SCORES_AT_ONCE", 50)
+    r = np.random.default_rng(3)
+    x, y = r.integers(-2, 3, (20, 3)).astype(float), r.integers(-2, 3, (300, 3)).astype(float)
+    frame = lambda v: spark.createDataFrame([*[(i, a.tolist()) for i, a in enumerate(v)], (1000, None), (None, [1.0] * 3)], "id long, vector array<double>")
+    j = topk.knn_join(frame(x), frame(y), 5, metric, most_values=100)
+    got = sorted((a["left_id"], a["rank"], a["right_id"]) for a in j.collect())
+    s = np.round(topk.scores(x, y, metric), 12)
+    assert [g[2] for g in got] == [n for i in range(20) for n in np.lexsort((np.arange(300), -s[i]))[:5]]
+    assert [g[1] for g in got] == [1, 2, 3, 4, 5] * 20
+    assert "CoGroup" not in j._jdf.queryExecution().optimizedPlan().toString()
+    assert topk.knn_join(frame(x).limit(0), frame(y), 5, metric).count() == 0
+    assert topk.knn_join(frame(x), frame(y), 400, metric).count() == 20 * 300
+
+
 def test_stored_text_index(spark, tmp_path):
     texts = ["a b c", "b a", "c a b a b", None, "a a a", "all rights reserved all rights", "rights all reserved"]
     d = spark.createDataFrame([(i, t, (t or "")[::-1]) for i, t in enumerate(texts)], "id long, text string, other string")
