@@ -144,6 +144,23 @@ def test_join_of_few_left_rows(spark, metric, monkeypatch):
     assert topk.knn_join(frame(x), frame(y), 400, metric).count() == 20 * 300
 
 
+def test_inverted_file_join_of_both_ways(spark):
+    """Queries that go to the tasks and ones that are dealt to blocks find the same, as does a loop over the lists."""
+    from korvex.operators import ivf
+
+    y = np.random.default_rng(4).normal(size=(300, 4))
+    d = spark.createDataFrame([*[(i, a.tolist()) for i, a in enumerate(y)], (1000, None), (None, [1.0] * 4)], "id long, vector array<double>")
+    c, q = y[:6].copy(), d.where("id % 10 = 0")
+    few, dealt = (sorted((r["left_id"], r["rank"], r["right_id"]) for r in ivf.knn_join(d, c, 3, 2, block=16, queries=q, most_values=m).collect()) for m in (10**6, 0))
+    far = ((y[:, None] - c[None]) ** 2).sum(2)
+    near, want = np.argsort(far, axis=1, kind="stable"), []
+    for i in range(0, 300, 10):
+        own = np.flatnonzero(np.isin(near[:, 0], near[i, :2]))
+        s = np.round(topk.scores(y[[i]], y[own], "cosine")[0], 12)
+        want += [(i, n + 1, own[m]) for n, m in enumerate(np.lexsort((own, -s))[:3])]
+    assert few == dealt == want
+
+
 def test_stored_text_index(spark, tmp_path):
     texts = ["a b c", "b a", "c a b a b", None, "a a a", "all rights reserved all rights", "rights all reserved"]
     d = spark.createDataFrame([(i, t, (t or "")[::-1]) for i, t in enumerate(texts)], "id long, text string, other string")
