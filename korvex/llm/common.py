@@ -11,10 +11,11 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,18 +76,30 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(word_hashes(words(text)), n))
 
 
+def bounded(sizes: Sequence[int], most: int = 4_000_000) -> Iterator[slice]:
+    """Stretches of rows, each ended by the row with which its sizes reach `most`."""
+    start = size = 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def cut_batches(rows: Iterator[pa.RecordBatch], text: int = 1, most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(batch, its texts) of Arrow batches, cut so that a piece has bounded text; text is that column's place. No more than a piece becomes Python values."""
+    for b in rows:
+        for s in bounded(pc.fill_null(pc.utf8_length(b.column(text)), 0).to_pylist(), most_chars):
+            part = b.slice(s.start, s.stop - s.start)
+            yield part, part.column(text).to_pylist()
+
+
 def batches(rows: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) of Arrow batches with the columns id and text, cut so that a piece has bounded text."""
-    for b in rows:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        start = size = 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size >= most_chars:
-                yield ids[start : k + 1], texts[start : k + 1]
-                start, size = k + 1, 0
-        if start < len(texts):
-            yield ids[start:], texts[start:]
+    for b, texts in cut_batches(rows, 1, most_chars):
+        yield b.column(0).to_pylist(), texts
 
 
 def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.ListArray:

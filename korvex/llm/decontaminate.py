@@ -286,8 +286,9 @@ def _hit(own: list[Finder], threshold: float):
     @F.pandas_udf("boolean")
     def hit(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text), bool)
-        for t, _, x in _scores(own, text.tolist()):
-            out[t] |= x >= threshold
+        for s in C.bounded([len(t or "") for t in text]):  # the words of a whole batch would take hundreds of MB
+            for t, _, x in _scores(own, text.iloc[s].tolist()):
+                out[s.start + t] |= x >= threshold
         return pd.Series(out)
 
     return hit

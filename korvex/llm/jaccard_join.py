@@ -97,8 +97,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, block:
     routed = pairs.join(nodes, pairs["a"] == nodes["node"]).select(key.alias("g"), F.least(place("a"), place("b")).alias("i"), F.greatest(place("a"), place("b")).alias("j"), "a", "b")
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b, texts in C.cut_batches(batches):
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (2, 3, 4)], b.column(0), pa.array([C.gram_set(t, n).tobytes() for t in texts], pa.binary())], ["g", "nb", "at", "node", "grams"])
 
     d = C.id_text(docs)

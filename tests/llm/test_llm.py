@@ -5,6 +5,8 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -681,6 +683,22 @@ def test_pipeline_stages_pass_all_columns_and_odd_rows(spark, odd, tmp_path):
     assert all(f(spark, odd.limit(0), SF).count() == 0 for _, f in corpus_pipeline.STAGES)
 
 
+def test_words_of_a_whole_batch_are_not_held(monkeypatch):
+    ix = decontaminate.index_of([(1, "alpha beta gamma delta epsilon")], 2)
+    own = [decontaminate.Finder(ix, np.ones(len(ix.place_item), bool))]
+    texts = [None, "", *["word " * 80_000] * 24, "x alpha beta gamma delta epsilon y", None, "alpha beta"]
+    scores, held = decontaminate._scores, []
+    monkeypatch.setattr(decontaminate, "_scores", lambda own, part: held.append(sum(len(t or "") for t in part)) or scores(own, part))
+    assert np.flatnonzero(decontaminate._hit(own, 0.5).func(pd.Series(texts, dtype=object))).tolist() == [26]
+    assert max(held) < 4_500_000 and sum(held) == sum(len(t or "") for t in texts)
+
+
+def test_cut_batches():
+    b = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": ["é" * 3, None, "", "ab", "c" * 9, "d", "🙂"]})
+    got = [(p.column(0).to_pylist(), t) for p, t in C.cut_batches(iter([b, b.slice(0, 0)]), 1, 5)]
+    assert got == [([0, 1, 2, 3], ["ééé", None, "", "ab"]), ([4], ["c" * 9]), ([5, 6], ["d", "🙂"])] == list(C.batches(iter([b]), 5))
+
+
 def test_connected_groups(spark):
     e = spark.createDataFrame([(n, n + 1) for n in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["label"] for r in C.connected_groups(e, "a", "b").collect()}
