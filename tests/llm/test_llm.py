@@ -683,7 +683,7 @@ def test_pipeline_stages_pass_all_columns_and_odd_rows(spark, odd, tmp_path):
     assert all(f(spark, odd.limit(0), SF).count() == 0 for _, f in corpus_pipeline.STAGES)
 
 
-def test_words_of_a_whole_batch_are_not_held(monkeypatch):
+def test_words_of_a_whole_batch_are_not_held(spark, monkeypatch):
     ix = decontaminate.index_of([(1, "alpha beta gamma delta epsilon")], 2)
     own = [decontaminate.Finder(ix, np.ones(len(ix.place_item), bool))]
     texts = [None, "", *["word " * 80_000] * 24, "x alpha beta gamma delta epsilon y", None, "alpha beta"]
