@@ -262,12 +262,12 @@ def test_enrich_reads_its_results_once(spark):
     """The list comes from a search, which would be run again for each reading."""
     read = spark.sparkContext.accumulator(0)
 
-    @F.udf("double")
+    @F.udf("long")
     def counted(x):
         read.add(1)
         return x
 
-    results = spark.createDataFrame([(str(i), 1.0, "{}", [1.0, float(i)], i) for i in range(5)], pipeline.RESULT).withColumn("score", counted.asNondeterministic()("score"))
+    results = spark.createDataFrame([(str(i), 1.0, "{}", [1.0, float(i)], i) for i in range(5)], pipeline.RESULT).withColumn("pos", counted.asNondeterministic()("pos"))
     other = spark.createDataFrame([("p", [1.0, 0.0], '{"n": 5}')], "id string, dense array<float>, payload string")
     out = pipeline.STAGES["document_enrich"](pipeline.Context(results, results, {"o": other}), {"target_namespace": "o"})
     assert [json.loads(r["payload"])["enriched_n"] for r in out.collect()] == [5] * 5 and read.value == 5
